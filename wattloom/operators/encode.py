@@ -4,25 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import nan_to_null, ratio
 from ..schema import ID
-from ..session import broadcast_if_small, with_scalars
+from ..session import BROADCAST_ROWS, broadcast_if_small, with_scalars
 from .quantiles import rank_values
 
 
 def label_codes(df: DataFrame, col: str, out: str) -> DataFrame:
-    """(col, out): sorted distinct non-NULL values numbered from 0, without a global sort."""
+    """(col, out): sorted distinct non-NULL values numbered from 0.
+
+    Values counted as few are numbered in one task and broadcast; more are numbered by
+    ordered bins, with no single-task sort, and joined by shuffle.
+    """
     values = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return rank_values(values, [col]).select(col, F.col("code").cast("int").alias(out))
+    if values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        code = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(col)) - 1
+        return F.broadcast(values.select(col, code.cast("int").alias(out)))
+    return rank_values(values, [col]).select(col, F.col("code").cast("bigint").alias(out))
 
 
 def encode_labels(df: DataFrame, col: str, out: str, fit_on: DataFrame | None = None) -> DataFrame:
-    """Add the code of each value. The code table is broadcast only when counted as small."""
-    codes = label_codes(df if fit_on is None else fit_on, col, out)
-    return df.join(broadcast_if_small(codes), col, "left")
+    """Add the code of each value, learnt on `fit_on` or on the table itself."""
+    return df.join(label_codes(df if fit_on is None else fit_on, col, out), col, "left")
 
 
 def encode_category_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -39,7 +45,7 @@ def fit_apply_encoder(
     """Codes learnt on `train`, applied to `other`: an unseen value raises, or gets the next
     code (unseen="keep")."""
     codes = label_codes(train, col, out)
-    joined = other.join(broadcast_if_small(codes), col, "left")
+    joined = other.join(codes, col, "left")
     if unseen == "keep":
         size = codes.agg(F.count(F.lit(1)).cast("int").alias("__k"))
         return with_scalars(joined, size).withColumn(out, F.coalesce(out, "__k")).drop("__k")
