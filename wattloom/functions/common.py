@@ -44,3 +44,8 @@ def masked_corr(x: str, y: str, over=None) -> Column:
         moments = [m.over(over) for m in moments]
     cov, sx, sy = moments
     return ratio(cov, sx * sy)
+
+
+def rows() -> Column:
+    """count(*)."""
+    return F.count(F.lit(1))

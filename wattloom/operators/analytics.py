@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import masked_corr, ratio
+from ..functions.common import masked_corr, ratio, rows
 from ..schema import DAY, ID, PROFILE, SLOTS
 from ..session import broadcast_if_small, with_scalars
 from .quantiles import five_number, quantiles
 
-N = F.count(F.lit(1))
 
 
 # --- quality -------------------------------------------------------------------
@@ -27,7 +26,7 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str] = (ID, DAY)) -> DataFrame:
-    return df.groupBy(*keys).agg(N.alias("n")).agg(F.sum(F.col("n") - 1).alias("duplicates"))
+    return df.groupBy(*keys).agg(rows().alias("n")).agg(F.sum(F.col("n") - 1).alias("duplicates"))
 
 
 def date_range(df: DataFrame) -> DataFrame:
@@ -60,7 +59,7 @@ def histogram(df: DataFrame, col: str = "total_kwh", bins: int = 100) -> DataFra
     binned = with_scalars(df.where(F.col(col).isNotNull()), lim).select(
         b.alias("bin"), (F.col("__lo") + b * width).alias("bin_start")
     )
-    return binned.groupBy("bin").agg(F.min("bin_start").alias("bin_start"), N.alias("rows"))
+    return binned.groupBy("bin").agg(F.min("bin_start").alias("bin_start"), rows().alias("rows"))
 
 
 # --- load curves -----------------------------------------------------------------
@@ -77,7 +76,7 @@ def load_curve(df: DataFrame, keys: Sequence[str] = (), hh: str = PROFILE) -> Da
 
 def peak_slot_histogram(df: DataFrame, keys: Sequence[str] = (), slot: str = "peak_hour") -> DataFrame:
     """Rows and share per peak slot by keys; at most 48 rows per key reach the window."""
-    n = df.where(F.col(slot).isNotNull()).groupBy(*keys, slot).agg(N.alias("rows"))
+    n = df.where(F.col(slot).isNotNull()).groupBy(*keys, slot).agg(rows().alias("rows"))
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     return n.withColumn("share", F.col("rows") / F.sum("rows").over(w))
 
@@ -99,13 +98,13 @@ def crosstab(
     df: DataFrame, row: str, col: str, values: Sequence[str], distinct_of: str | None = None
 ) -> DataFrame:
     """Counts of rows (or distinct `distinct_of`), zero-filled, one column per value."""
-    count = F.countDistinct(distinct_of) if distinct_of else N
+    count = F.countDistinct(distinct_of) if distinct_of else rows()
     return df.groupBy(row).pivot(col, list(values)).agg(count).na.fill(0)
 
 
 def crosstab_row_pct(df: DataFrame, row: str, col: str) -> DataFrame:
     """(row, col, pct of the row), from counts."""
-    n = df.groupBy(row, col).agg(N.alias("rows"))
+    n = df.groupBy(row, col).agg(rows().alias("rows"))
     w = Window.partitionBy(row)
     return n.withColumn("pct", F.col("rows") / F.sum("rows").over(w) * 100)
 
@@ -185,13 +184,13 @@ def trend_line(df: DataFrame, x: str, y: str = "total_kwh", keys: Sequence[str]
     return both.groupBy(*keys).agg(
         F.regr_slope(F.col(y), F.col(x)).alias("slope"),
         F.regr_intercept(F.col(y), F.col(x)).alias("intercept"),
-        N.alias("n"),
+        rows().alias("n"),
     )
 
 
 def top_k_groups(df: DataFrame, group: str, k: int) -> DataFrame:
     """Rows of the k most frequent groups (ties by name)."""
-    top = df.where(F.col(group).isNotNull()).groupBy(group).agg(N.alias("__n"))
+    top = df.where(F.col(group).isNotNull()).groupBy(group).agg(rows().alias("__n"))
     top = top.orderBy(F.desc("__n"), group).limit(k).select(group)
     return df.join(F.broadcast(top), group, "left_semi")
 
@@ -271,7 +270,7 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], by: str, n: int, ties: Seq
 
 
 def most_frequent_household(df: DataFrame) -> DataFrame:
-    return df.groupBy(ID).agg(N.alias("rows")).orderBy(F.desc("rows"), ID).limit(1)
+    return df.groupBy(ID).agg(rows().alias("rows")).orderBy(F.desc("rows"), ID).limit(1)
 
 
 def longest_households(df: DataFrame, n: int = 2) -> DataFrame:

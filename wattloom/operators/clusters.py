@@ -9,13 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import ratio
+from ..functions.common import ratio, rows
 from ..schema import DAY, ID
 from .clean import join_stats_to_dim
 from .panel import by_day
 from .quantiles import five_number, quantiles
 
-N = F.count(F.lit(1))
 
 
 def cluster_profile_summary(df: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -48,7 +47,7 @@ def first_day_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def cluster_size(df: DataFrame, cluster: str = "cluster") -> DataFrame:
-    n = first_day_rows(df, [cluster]).groupBy(cluster).agg(N.alias("households"))
+    n = first_day_rows(df, [cluster]).groupBy(cluster).agg(rows().alias("households"))
     total = F.sum("households").over(Window.partitionBy(F.lit(0)))  # one row per cluster
     return n.withColumn("pct", F.col("households") / total * 100)
 
@@ -71,7 +70,7 @@ def cluster_switching(df: DataFrame, cluster: str = "cluster", count_first: bool
     return (
         known.withColumn("__moved", moved)
         .groupBy(ID)
-        .agg(F.sum("__moved").alias("switches"), N.alias("total_days"))
+        .agg(F.sum("__moved").alias("switches"), rows().alias("total_days"))
         .where("total_days > 1")
         .withColumn("switch_rate", F.col("switches") / (F.col("total_days") - 1))
     )
@@ -108,7 +107,7 @@ def cluster_share_by_month(df: DataFrame, clusters: Sequence, cluster: str = "cl
         df.where(F.col(cluster).isNotNull())
         .groupBy(F.trunc(DAY, "MM").alias("month_period"))
         .pivot(cluster, list(clusters))
-        .agg(N)
+        .agg(rows())
         .na.fill(0)
     )
     total = sum((F.col(str(c)) for c in clusters), F.lit(0))
@@ -122,11 +121,11 @@ def cluster_stability(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     """
     known = df.select(ID, DAY, cluster).na.drop()
     per = known.groupBy(ID, cluster).agg(
-        N.alias("n"), F.collect_set(F.trunc(DAY, "MM")).alias("months")
+        rows().alias("n"), F.collect_set(F.trunc(DAY, "MM")).alias("months")
     )
     agg = per.groupBy(ID).agg(
         F.sum("n").alias("total"),
-        N.alias("kinds"),
+        rows().alias("kinds"),
         F.min(F.struct((-F.col("n")).alias("neg"), F.col(cluster).alias("c"))).alias("top"),
         F.sum(F.col("n") * F.log2("n")).alias("nlogn"),
         F.size(F.array_distinct(F.flatten(F.collect_list("months")))).alias("month_count"),
@@ -199,7 +198,7 @@ def welch_ttest(df: DataFrame, value: str, group: str) -> DataFrame:
     top = (
         df.where(F.col(group).isNotNull() & v.isNotNull())
         .groupBy(group)
-        .agg(N.alias("n"), F.avg(v).alias("m"), F.var_samp(v).alias("s2"))
+        .agg(rows().alias("n"), F.avg(v).alias("m"), F.var_samp(v).alias("s2"))
         .orderBy(F.desc("n"), group)
         .limit(2)
     )

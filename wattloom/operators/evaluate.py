@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.common import ratio
+from ..functions.common import ratio, rows
 from ..schema import DAY, ID
 from ..session import with_scalars
 from .quantiles import pct_rank_true, quantiles
 
 Y, P = "y_true", "y_pred"
-N = F.count(F.lit(1))
 
 
 def _err() -> Column:
@@ -78,7 +77,7 @@ def metrics_by_cluster(df: DataFrame, cluster: str = "cluster") -> DataFrame:
         F.round(r2(), 4).alias("r2"),
         F.round(mape(0.1), 2).alias("mape"),
         F.round(smape(), 2).alias("smape"),
-        N.alias("samples"),
+        rows().alias("samples"),
     )
 
 
@@ -87,7 +86,7 @@ def peak_metrics(df: DataFrame, percentile: float = 90.0, approx: bool = False)
     cut = quantiles(df, Y, [percentile / 100], approx=approx).select(F.col("q")[0].alias("threshold"))
     peak = with_scalars(df, cut).where(F.col(Y) >= F.col("threshold"))
     return peak.groupBy("threshold").agg(
-        N.alias("n_samples"),
+        rows().alias("n_samples"),
         mae().alias("mae"),
         rmse().alias("rmse"),
         mape().alias("mape"),
