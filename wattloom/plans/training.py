@@ -215,9 +215,14 @@ def partial_dependence(
 
 
 def permutation_importance(
-    model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, seed: int = 42
+    model: PipelineModel,
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    shuffle: Sequence[str] | None = None,
+    seed: int = 42,
 ) -> DataFrame:
-    """Rise of RMSE when one column is shuffled among the rows.
+    """Rise of RMSE when one input column (each of `shuffle`) is shuffled among the rows.
 
     Rows get a place in two hash orders through bin counts; joining the places exchanges the
     values between rows without a single-task sort.
@@ -232,7 +237,7 @@ def permutation_importance(
     order = rank_values(hashed.select(*key), key).select(*key, F.col("code").alias("from"))
     plain = score_splits(model, base, label, key).agg(ev.rmse().alias("base_rmse"))
     out = None
-    for f in features:
+    for f in shuffle or features:
         donor = base.select(*key, F.col(f).alias("__v")).join(order, key).select("from", "__v")
         mixed = base.drop(f).join(places, key).join(donor, F.col("to") == F.col("from")).withColumnRenamed("__v", f)
         one = score_splits(model, mixed, label, key).agg(ev.rmse().alias("rmse")).withColumn("feature", F.lit(f))
