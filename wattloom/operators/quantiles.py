@@ -2,16 +2,17 @@
 
 percentile() keeps every distinct value of a group in one aggregation buffer and a window
 without keys sorts the table in one task. Here the values are first counted (map-side
-combined), then cut into ordered bins. Bin totals, at most `bins` per key, give each bin's
+combined), then cut into ordered bins. Bin totals, at most one per bin and key, give each bin's
 starting rank, and only inside a bin are values sorted. A key with a third of all rows is
 spread over the bins, so its work is shared.
 
-Bin edges are the `bins` values whose hash is smallest: a uniform sample of the distinct
+Bin edges are the values whose hash is smallest: a uniform sample of the distinct
 values that comes out the same whenever a lost task is run again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,24 +20,53 @@ from pyspark.sql import functions as F
 
 from ..session import with_scalars
 
-BINS = 64
+MIN_BINS, MAX_BINS = 64, 1024
 
 
-def _binned(hist: DataFrame, order: Column, seed_cols: Sequence[str], bins: int) -> DataFrame:
-    """Add __bin, which grows with `order`."""
+def _bin_count(df: DataFrame) -> int:
+    """As many bins as shuffle partitions, within limits that keep the edge array small."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_BINS, min(parts, MAX_BINS))
+
+
+def _binned(hist: DataFrame, count: str, order: Column, seed_cols: Sequence[str], bins: int) -> DataFrame:
+    """Add __bin, the number of edges at or below `order`.
+
+    The filter on the count is always true. It keeps the count in both uses of `hist`, so
+    they have the same plan and Spark runs the counting once (ReusedExchange).
+    """
     edges = (
-        hist.select(order.alias("__o"), F.xxhash64(*seed_cols).alias("__h"))
+        hist.where(F.col(count) > 0)
+        .select(order.alias("__o"), F.xxhash64(*seed_cols).alias("__h"))
         .orderBy("__h", "__o")
         .limit(bins - 1)
-        .agg(F.array_distinct(F.collect_list("__o")).alias("__edges"))
+        .agg(F.sort_array(F.array_distinct(F.collect_list("__o"))).alias("__edges"))
+    )
+    # two short searches: every step-th edge, then the edges between two of those
+    step = max(2, math.isqrt(bins))
+    coarse = F.filter("__edges", lambda e, i: (i + 1) % step == 0)
+    edges = edges.select("__edges", coarse.alias("__coarse"))
+
+    def up_to(a: Column) -> Column:
+        return F.size(F.filter(a, lambda e: e <= order))
+
+    full = up_to(F.col("__coarse")) * step
+    return (
+        with_scalars(hist, edges)
+        .withColumn("__full", full)
+        .withColumn("__bin", F.col("__full") + up_to(F.slice("__edges", F.col("__full") + 1, step)))
+        .drop("__edges", "__coarse", "__full")
     )
-    return with_scalars(hist, edges).withColumn(
-        "__bin", F.size(F.filter("__edges", lambda e: e <= order))
-    ).drop("__edges")
 
 
 def _on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys that may be NULL."""
+    """Inner join on keys that may be NULL.
+
+    Joined by bin alone, `right` has at most one row per bin and is broadcast, so values of
+    bins that are not wanted leave before the exchange.
+    """
+    if len(keys) == 1:
+        right = F.broadcast(right)
     r = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
     cond = None
     for k in keys:
@@ -52,7 +82,7 @@ def quantiles(
     keys: Sequence[str] = (),
     approx: bool = False,
     accuracy: int = 10_000,
-    bins: int = BINS,
+    bins: int | None = None,
 ) -> DataFrame:
     """keys, n, q: array of linear-interpolation quantiles in the order of `probs`.
 
@@ -68,7 +98,7 @@ def quantiles(
             .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(v, p, F.lit(accuracy)).alias("q"))
         )
     hist = df.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    binned = _binned(hist, F.col("__v"), [*keys, "__v"], bins)
+    binned = _binned(hist, "__c", F.col("__v"), [*keys, "__v"], bins or _bin_count(df))
 
     # <= `bins` rows per key from here to `hits`
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -110,7 +140,7 @@ def quantiles(
 
 
 def rank_values(
-    df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), bins: int = BINS
+    df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), bins: int | None = None
 ) -> DataFrame:
     """Distinct `cols` per key with their place in the ascending order.
 
@@ -120,7 +150,7 @@ def rank_values(
     cols, keys = list(cols), list(keys)
     hist = df.groupBy(*keys, *cols).agg(F.count(F.lit(1)).alias("c"))
     order = F.col(cols[0]) if len(cols) == 1 else F.struct(*cols)
-    binned = _binned(hist, order, [*keys, *cols], bins)
+    binned = _binned(hist, "c", order, [*keys, *cols], bins or _bin_count(df))
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     run = per_key.orderBy("__bin")
     starts = (

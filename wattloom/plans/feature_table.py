@@ -67,8 +67,9 @@ def feature_table(df: DataFrame, approx: bool = False, peak_flags: bool = False)
         df = prof.consumption_features(df)
         if peak_flags:
             df = cal.peak_period_flags(df)
-    df = weather_features(df, approx)
-    return panel.interactions_lag(panel.panel_safe(df))
+    # windows ordered by day come first: their sort also serves the unordered household window
+    df = weather_features(panel.panel_safe(df), approx)
+    return panel.interactions_lag(df)
 
 
 @dataclass
