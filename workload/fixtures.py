@@ -41,10 +41,13 @@ class Fixtures:
         return _SCANS[key]
 
     def meter(self) -> DataFrame:
-        """Daily totals: supplier = household, shipped quantity = kWh. Key is unique."""
-        return self.table("lineitem").groupBy(mac(F.col("l_suppkey")).alias(ID), F.to_date("l_shipdate").alias(DAY)).agg(
+        """Daily totals: supplier = household, shipped quantity = kWh. Key is unique.
+
+        Grouped by the integer key; the text id is made once per group."""
+        days = self.table("lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias(DAY)).agg(
             F.sum("l_quantity").alias("total_kwh")
         )
+        return days.select(mac(F.col("l_suppkey")).alias(ID), DAY, "total_kwh")
 
     def _nations(self) -> DataFrame:
         """nation has 25 rows and region 5 at every scale."""
