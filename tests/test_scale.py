@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattloom.operators import analytics as an
-from wattloom.operators import clusters, encode, panel
+from wattloom.operators import clean, clusters, encode, panel
 from wattloom.operators.quantiles import five_number, pct_rank_true, quantiles, rank_values
 from wattloom.plans import feature_table as ft
 from workload.fixtures import Fixtures
@@ -111,9 +111,15 @@ def test_scan_reads_only_what_is_asked(spark, sf):
     assert re.search(r"ReadSchema: struct<l_suppkey:bigint,l_quantity:double>", plan)
 
 
+def test_packing_has_no_sort(spark, sf):
+    plan = executed(clean.pack_readings(Fixtures(spark, sf).readings())).split("Initial Plan")[0]
+    assert "Sort" not in plan and "ObjectHashAggregate" not in plan
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_first_day_rows_needs_no_window(spark):
     rows = [("A", "2013-01-02", 1), ("A", "2013-01-01", 2), ("B", "2013-01-01", 3)]
     df = spark.createDataFrame(rows, "LCLid string, day string, cluster int").withColumn("day", F.to_date("day"))
-    out = clusters.first_day_rows(df, ["cluster"])
-    assert "Window" not in planned(out)
+    out = clusters.first_day_rows(df, "cluster")
+    assert "Window" not in planned(out) and "SortAggregate" not in planned(out)
     assert {r.LCLid: r.cluster for r in out.collect()} == {"A": 2, "B": 3}

@@ -78,7 +78,7 @@ def to_array(df: DataFrame, name: str = PROFILE) -> DataFrame:
 
 def to_columns(df: DataFrame, name: str = PROFILE) -> DataFrame:
     """One array column -> hh_0..hh_47."""
-    return df.select("*", *[F.get(name, F.lit(i)).alias(c) for i, c in enumerate(HH_COLS)]).drop(name)
+    return df.selectExpr("*", *[f"get({name}, {i}) AS {c}" for i, c in enumerate(HH_COLS)]).drop(name)
 
 
 def slot_label(slot: Column) -> Column:

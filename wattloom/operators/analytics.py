@@ -68,9 +68,8 @@ def histogram(df: DataFrame, col: str = "total_kwh", bins: int = 100) -> DataFra
 def load_curve(df: DataFrame, keys: Sequence[str] = (), hh: str = PROFILE) -> DataFrame:
     """Mean use per slot by keys: 48 averages in one aggregate, so profiles are not exploded
     before the exchange."""
-    slots = [F.avg(F.get(hh, F.lit(i))).alias(f"__{i}") for i in range(SLOTS)]
-    means = df.groupBy(*keys).agg(*slots)
-    curve = F.array(*[F.col(f"__{i}") for i in range(SLOTS)])
+    means = df.groupBy(*keys).agg(*[F.expr(f"avg(get({hh}, {i}))").alias(f"__{i}") for i in range(SLOTS)])
+    curve = F.array(*[f"__{i}" for i in range(SLOTS)])
     return means.select(*keys, F.posexplode(curve).alias("slot", "mean_kwh"))
 
 

@@ -40,14 +40,16 @@ def pack_readings(
 
 
 def pack_slots(df: DataFrame, keys: list[str], fill: float | None = None) -> DataFrame:
-    """(keys, slot, v), unique by slot -> keys + array of 48."""
-    default = F.lit(fill).cast("double")
-    m = F.map_from_entries(F.collect_list(F.struct("slot", "v")))
-    packed = df.groupBy(*keys).agg(m.alias("__m"))
-    slots = F.sequence(F.lit(0), F.lit(SLOTS - 1))
-    return packed.select(
-        *keys, F.transform(slots, lambda i: F.coalesce(F.try_element_at("__m", i), default)).alias(PROFILE)
-    )
+    """(keys, slot, v), unique by slot -> keys + array of 48.
+
+    Partitioned by the keys first, so the long rows are what travels and the 48-wide hash
+    aggregate is partial and final in one stage. collect_list would be sort-based here.
+    """
+    default = "NULL" if fill is None else repr(float(fill))
+    slots = [F.expr(f"max(CASE WHEN slot = {i} THEN v END)").alias(f"__{i}") for i in range(SLOTS)]
+    wide = df.repartition(*keys).groupBy(*keys).agg(*slots)
+    hh = ", ".join(f"coalesce(__{i}, CAST({default} AS DOUBLE))" for i in range(SLOTS))
+    return wide.select(*keys, F.expr(f"array({hh})").alias(PROFILE))
 
 
 def unpack_profile(df: DataFrame, hh: str = PROFILE) -> DataFrame:

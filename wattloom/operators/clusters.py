@@ -38,15 +38,22 @@ def cluster_profile_summary(df: DataFrame, cluster: str = "cluster") -> DataFram
     return df.where(known).groupBy(cluster).agg(*aggs)
 
 
-def first_day_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row per household: its columns on the first day. A min over a struct is combined
-    map-side, so no household is gathered or sorted."""
-    s = df.groupBy(ID).agg(F.min(F.struct(DAY, *cols)).alias("s"))
-    return s.select(ID, *[F.col(f"s.{c}").alias(c) for c in cols])
+def first_day_rows(df: DataFrame, cluster: str, attrs: Sequence[str] = ()) -> DataFrame:
+    """One row per household: its cluster on the first day, with household attributes.
+
+    The readings are reduced by a hash aggregate on fixed-width buffers (day and cluster
+    number); attributes are grouping keys, because text in a buffer would force a sort. Only
+    the reduced rows, about one per household, go through the struct minimum.
+    """
+    per = df.groupBy(ID, *attrs).agg(F.min(DAY).alias("d"), F.min_by(cluster, DAY).alias("c"))
+    if not attrs:
+        return per.select(ID, F.col("c").alias(cluster))
+    one = per.groupBy(ID).agg(F.min(F.struct("d", "c", *attrs)).alias("s"))
+    return one.select(ID, F.col("s.c").alias(cluster), *[F.col(f"s.{a}").alias(a) for a in attrs])
 
 
 def cluster_size(df: DataFrame, cluster: str = "cluster") -> DataFrame:
-    n = first_day_rows(df, [cluster]).groupBy(cluster).agg(rows().alias("households"))
+    n = first_day_rows(df, cluster).groupBy(cluster).agg(rows().alias("households"))
     total = F.sum("households").over(Window.partitionBy(F.lit(0)))  # one row per cluster
     return n.withColumn("pct", F.col("households") / total * 100)
 
@@ -54,7 +61,7 @@ def cluster_size(df: DataFrame, cluster: str = "cluster") -> DataFrame:
 def acorn_share_by_cluster(df: DataFrame, cluster: str = "cluster", group: str = "Acorn_grouped") -> DataFrame:
     from .analytics import crosstab_row_pct
 
-    one = first_day_rows(df, [cluster, group]).na.drop(subset=[cluster, group])
+    one = first_day_rows(df, cluster, [group]).na.drop(subset=[cluster, group])
     return crosstab_row_pct(one, cluster, group)
 
 
@@ -116,12 +123,12 @@ def cluster_share_by_month(df: DataFrame, clusters: Sequence, cluster: str = "cl
 def cluster_stability(df: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Dominant cluster and its share, entropy in bits, 1 - normalised entropy and months.
 
-    Two map-side combined groupings; the second sees a household's clusters only.
+    The readings are counted by household, cluster and month in a hash aggregate; what
+    follows sees only those counts.
     """
-    known = df.select(ID, DAY, cluster).na.drop()
-    per = known.groupBy(ID, cluster).agg(
-        rows().alias("n"), F.collect_set(F.trunc(DAY, "MM")).alias("months")
-    )
+    known = df.select(ID, F.trunc(DAY, "MM").alias("month"), cluster).na.drop()
+    monthly = known.groupBy(ID, cluster, "month").agg(rows().alias("n"))
+    per = monthly.groupBy(ID, cluster).agg(F.sum("n").alias("n"), F.collect_list("month").alias("months"))
     agg = per.groupBy(ID).agg(
         F.sum("n").alias("total"),
         rows().alias("kinds"),

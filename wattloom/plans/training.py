@@ -43,8 +43,8 @@ DEFAULTS = {"maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstance
 
 def kmeans_load_shapes(df: DataFrame, k: int = 8, seed: int = 42, hh: str = PROFILE) -> tuple[DataFrame, float]:
     """Cluster households by their mean daily profile: (LCLid, cluster) and the silhouette."""
-    means = df.groupBy(ID).agg(*[F.avg(F.get(hh, F.lit(i))).alias(f"s{i}") for i in range(SLOTS)])
-    filled = [F.coalesce(F.col(f"s{i}"), F.lit(0.0)) for i in range(SLOTS)]
+    means = df.groupBy(ID).agg(*[F.expr(f"avg(get({hh}, {i}))").alias(f"s{i}") for i in range(SLOTS)])
+    filled = [F.expr(f"coalesce(s{i}, 0D)") for i in range(SLOTS)]
     return _kmeans(means.select(ID, array_to_vector(F.array(*filled)).alias("raw")), ID, k, seed)
 
 

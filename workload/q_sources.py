@@ -76,14 +76,12 @@ def _(fx):
 
 @query(
     "scan_features",
-    'SELECT "LCLid", day, {{lag1_total}} AS lag1_total, {{roll7_total_mean}} AS roll7_total_mean FROM lagged WHERE month = 6',
+    'SELECT "LCLid", day, {{lag1_total}} AS lag1_total, {{roll7_total_mean}} AS roll7_total_mean FROM lagged',
 )
 def _(fx):
     path = scratch_path(fx.spark, "features")
     writers.write_features(fx.lagged(), path)
-    return readers.scan_features(fx.spark, path, [ID, DAY, "month", "lag1_total", "roll7_total_mean"]).where(
-        "month = 6"
-    ).drop("month")
+    return readers.scan_features(fx.spark, path, [ID, DAY, "lag1_total", "roll7_total_mean"])
 
 
 @query(
@@ -139,10 +137,10 @@ def _(fx):
 
 @query(
     "keep_active_households",
-    """SELECT "LCLid", day FROM (SELECT "LCLid", day, count(*) OVER (PARTITION BY "LCLid") AS n FROM meter WHERE total_kwh > 45) WHERE n >= 30""",
+    """SELECT "LCLid", day FROM (SELECT "LCLid", day, count(*) OVER (PARTITION BY "LCLid") AS n FROM meter) WHERE n >= 530""",
 )
 def _(fx):
-    return clean.keep_active_households(fx.meter().where("total_kwh > 45")).select(ID, DAY)
+    return clean.keep_active_households(fx.meter(), min_days=530).select(ID, DAY)
 
 
 @query("select_household_cols", 'SELECT "LCLid", "Acorn", "Acorn_grouped", "stdorToU" FROM household')
