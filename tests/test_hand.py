@@ -233,3 +233,28 @@ def test_inf_and_nan_become_null(spark):
 def test_bad_text_becomes_null(spark):
     df = spark.createDataFrame([("1.5",), ("Null",), ("nan",)], "v string")
     assert [r.v for r in encode.cast_numeric_coerce(df, ["v"]).collect()] == [1.5, None, None]
+
+
+def test_scaling_is_undone(spark):
+    df = panel_of(spark, [1, 2, 3, 10])
+    z = encode.scale_standard(df, ["total_kwh"], F.col("day") < day(3))
+    assert z.agg(F.stddev_pop(F.when(F.col("day") < day(3), F.col("total_kwh_z")))).first()[0] == pytest.approx(1)
+    back = encode.unscale_standard(z, "total_kwh_z", df.where(F.col("day") < day(3)), "total_kwh", "again")
+    assert back.where(F.abs(F.col("again") - F.col("total_kwh")) > 1e-9).isEmpty()
+    flat = encode.scale_standard(panel_of(spark, [4, 4]), ["total_kwh"]).select("total_kwh_z").collect()
+    assert [r[0] for r in flat] == [0.0, 0.0]
+
+
+def test_samples_do_not_depend_on_partitioning(spark):
+    df = panel_of(spark, range(300))
+    a = splits.sample_rows(df.repartition(7), 20).select("day").collect()
+    b = splits.sample_rows(df.coalesce(1), 20).select("day").collect()
+    assert sorted(a) == sorted(b) and len(a) == 20
+
+
+def test_large_tables_get_no_broadcast_hint(spark, monkeypatch):
+    from wattloom.session import broadcast_if_small
+
+    dim = spark.range(100).select(F.concat(F.lit("M"), "id").alias("LCLid"))
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(broadcast_if_small(dim, 100)) and not hinted(broadcast_if_small(dim, 99))

@@ -154,30 +154,19 @@ def interpolate_weather_time(
     One row per day (and station), so the window holds a calendar, not the readings.
     """
     cols = cols or WEATHER_VALUES
-    base = Window.partitionBy(station if station else F.lit(0))
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    back = base.orderBy(DAY).rowsBetween(*so_far)
-    # the same growing frame in reverse order: a frame to UNBOUNDED FOLLOWING is rescanned per row
-    ahead = base.orderBy(F.desc(DAY)).rowsBetween(*so_far)
+    part = f"PARTITION BY {station or 0} ORDER BY {DAY}"
+    so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     keep = [c for c in df.columns if c not in cols]
-    near = []
+    near, filled = [], []
     for c in cols:
-        known = F.when(F.col(c).isNotNull(), F.struct(F.col(DAY).alias("d"), F.col(c).alias("v")))
-        near += [
-            F.last(known, True).over(back).alias(f"__b_{c}"),
-            F.last(known, True).over(ahead).alias(f"__a_{c}"),
-        ]
-    filled = []
-    for c in cols:
-        bd, bv = F.col(f"__b_{c}.d"), F.col(f"__b_{c}.v")
-        ad, av = F.col(f"__a_{c}.d"), F.col(f"__a_{c}.v")
-        between = bv + (av - bv) * F.datediff(F.col(DAY), bd) / F.datediff(ad, bd)
-        filled.append(F.coalesce(F.col(c), between, bv, av).alias(c))
-    # a known day has itself on both sides; CASE keeps 0/0 out
-    guarded = [
-        F.when(F.col(c).isNotNull(), F.col(c)).otherwise(e).alias(c) for c, e in zip(cols, filled)
-    ]
-    return df.select("*", *near).select(*keep, *guarded)
+        known = f"CASE WHEN {c} IS NOT NULL THEN struct({DAY} AS d, {c} AS v) END"
+        near.append(f"last({known}, true) OVER ({part} {so_far}) AS b_{c}")
+        # looking ahead is the same growing frame in reverse order: a frame to UNBOUNDED
+        # FOLLOWING would be rescanned for every row
+        near.append(f"last({known}, true) OVER ({part} DESC {so_far}) AS a_{c}")
+        share = f"try_divide(datediff({DAY}, b_{c}.d), datediff(a_{c}.d, b_{c}.d))"
+        filled.append(f"coalesce({c}, b_{c}.v + (a_{c}.v - b_{c}.v) * {share}, b_{c}.v, a_{c}.v) AS {c}")
+    return df.selectExpr("*", *near).selectExpr(*keep, *filled)
 
 
 def map_holiday_category(df: DataFrame, type_col: str = "Type", day_col: str = "Bank holidays") -> DataFrame:

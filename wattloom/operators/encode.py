@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import nan_to_null, ratio
 from ..schema import ID
-from ..session import BROADCAST_ROWS, broadcast_if_small, with_scalars
+from ..session import BROADCAST_ROWS, with_scalars
 from .quantiles import rank_values
 
 
@@ -77,13 +77,12 @@ def unscale_standard(df: DataFrame, col: str, reference: DataFrame, ref_col: str
 
 
 def scale_robust(df: DataFrame, col: str, by: str = ID) -> DataFrame:
-    """(x - median) / IQR per series. A series is no longer than the calendar, so the plain
-    percentile aggregate is bounded here."""
+    """(x - median) / IQR per series, as a window: a series is no longer than the calendar, so
+    the plain percentile is bounded here."""
     p = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    stats = df.groupBy(by).agg(F.percentile(col, p).alias("__q"))
     q = F.col("__q")
     return (
-        df.join(broadcast_if_small(stats), by)
+        df.withColumn("__q", F.percentile(col, p).over(Window.partitionBy(by)))
         .withColumn(f"{col}_robust", ratio(F.col(col) - q[1], q[2] - q[0]))
         .drop("__q")
     )

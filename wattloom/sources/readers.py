@@ -19,7 +19,7 @@ LAYOUT = {
 
 
 def _csv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Pick `names` by header, whatever the files' column order; the caller applies types."""
+    """Pick `names` by the header (the same in all blocks) as text; the caller applies types."""
     return spark.read.option("header", True).csv(path).select(*[F.col(f"`{n}`") for n in names])
 
 
