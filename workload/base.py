@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .oracle import with_ctes
+from .oracle import half_way_shift, with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,10 +35,16 @@ def query(name: str, sql: str | None = None, digits: int = 6):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to `digits` places; -0.0 becomes 0.0."""
+    """Doubles to `digits` places; -0.0 becomes 0.0.
+
+    A value half way between two roundings (an average of 64 readings can be one) would go up
+    or down with the order of summation, so both engines add the same small shift first.
+    """
     return df.select(
         *[
-            (F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(f"`{c}`")
+            (F.round(F.col(f"`{c}`") + F.lit(half_way_shift(digits)), digits) + F.lit(0.0)).alias(c)
+            if t == "double"
+            else F.col(f"`{c}`")
             for c, t in df.dtypes
         ]
     )

@@ -140,9 +140,14 @@ def _needs(text: str, seen: list[str]) -> None:
                 seen.append(w)
 
 
+def half_way_shift(digits: int) -> float:
+    """Far above summation noise, far below the last digit kept."""
+    return 3 * 10.0 ** -(digits + 3)
+
+
 def with_ctes(sql: str, digits: int = 6) -> str:
     """Put the CTEs the text reads in front of it and expand {{x}} to a rounded double."""
-    body = re.sub(r"\{\{(.+?)\}\}", lambda m: f"(round(({m.group(1)})::double, {digits}) + 0e0)", sql, flags=re.S)
+    body = re.sub(r"\{\{(.+?)\}\}", lambda m: f"(round(({m.group(1)})::double + {half_way_shift(digits)!r}, {digits}) + 0e0)", sql, flags=re.S)
     used: list[str] = []
     _needs(body, used)
     head = ",\n".join(f"{c} AS ({CTES[c]})" for c in used)
