@@ -65,18 +65,28 @@ def profiles(texts: list[str | None], dims: int, n: int, seed: int) -> np.ndarra
         codes.append(c)
     if not rows:
         return out
-    grams, place = np.unique(np.concatenate(codes), return_inverse=True)
+    present = np.bincount(np.concatenate(codes), minlength=SYMBOLS**n) if SYMBOLS**n <= 1 << 24 else None
+    if present is None:
+        grams, place = np.unique(np.concatenate(codes), return_inverse=True)
+    else:
+        grams = np.flatnonzero(present)
+        index = np.zeros(len(present), np.int32)
+        index[grams] = np.arange(len(grams))
+        place = index[np.concatenate(codes)]
     bound = None
     for p, table in enumerate(letter_vectors(dims, n, seed)):
         part = table[grams // SYMBOLS ** (n - 1 - p) % SYMBOLS]
         bound = part if bound is None else bound * part
     bound = bound.astype(np.float32)
-    at = 0
-    for i, c in zip(rows, codes, strict=True):
-        count = np.bincount(place[at : at + len(c)])
-        at += len(c)
-        used = np.flatnonzero(count)
-        out[i] = count[used].astype(np.float32) @ bound[used]
+    # counts times vectors, for as many texts at once as keep the table of counts small
+    step = max(1, (1 << 21) // len(grams))
+    ends = np.cumsum([len(c) for c in codes])
+    for k in range(0, len(rows), step):
+        size = np.diff(ends[k : k + step], prepend=ends[k - 1] if k else 0)
+        mine = place[ends[k] - size[0] : ends[min(k + step, len(rows)) - 1]]
+        cell = np.repeat(np.arange(len(size)), size) * len(grams) + mine
+        count = np.bincount(cell, minlength=len(size) * len(grams)).astype(np.float32)
+        out[rows[k : k + step]] = count.reshape(len(size), -1) @ bound
     return out
 
 
