@@ -58,8 +58,7 @@ def labelled_sample(
 
     `usable` limits the rows that may be learnt from. The choice depends on the key alone, so a
     recomputed task gives the same rows. At most `bound` keys are sent to the executors. A key
-    labelled twice takes its larger label; documents that repeat a chosen key all count, up to
-    `bound` rows.
+    labelled twice takes its larger label; of documents that share a key the smallest text counts.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & usable)
@@ -70,7 +69,7 @@ def labelled_sample(
     )
     text = docs.select(F.col(key).alias("__doc"), F.col("text").cast("string").alias("text"))
     joined = text.join(F.broadcast(chosen), F.col("__doc") == F.col("__key"))
-    return joined.select("text", "label").limit(bound)
+    return joined.groupBy("__key").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

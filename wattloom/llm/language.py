@@ -100,7 +100,8 @@ def fit(docs: DataFrame, bound: int = 12_000, dims: int = 512, n: int = 3, seed:
     ids = docs.where(F.col("lang").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"))
     ids = ids.distinct().orderBy(F.xxhash64("__key"), "__key").limit(bound)
     text = docs.select(F.col(key).alias("__doc"), "text", "lang").where(F.col("lang").isNotNull())
-    rows = text.join(F.broadcast(ids), F.col("__doc") == F.col("__key")).select("text", "lang").limit(bound)
+    rows = text.join(F.broadcast(ids), F.col("__doc") == F.col("__key")).groupBy("__key")
+    rows = rows.agg(F.min(F.struct("text", "lang")).alias("r")).select("r.text", "r.lang")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
