@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -68,8 +69,11 @@ def learn_lexicon(
     """Entry -> weight, from (text, label) rows: beginnings of words that stand in toxic texts at
     least `odds` times as often as in others.
 
-    Texts that share their word of smallest hash (copies and most near copies) count once. An entry is dropped for a longer one that stands in nearly the
-    same toxic texts. At most `most` entries, the heaviest first.
+    Texts that share their word pair of smallest hash (copies and most near copies) count once. An
+    entry is dropped for a longer one that stands in nearly the
+    same toxic texts. Of the rest those stay that stand in a tenth of the toxic texts, or, taken by
+    that share, in at least two (and 0.3 %) that no entry before them matches: words that only
+    happen to stand beside others go. At most `most` entries, the heaviest first.
     """
     ship(sample.sparkSession)
 
@@ -87,7 +91,7 @@ def learn_lexicon(
     # has is not sent; clean counts are taken again below for the entries that remain
     @F.pandas_udf("long")
     def mark(texts: pd.Series) -> pd.Series:
-        return pd.Series([min((zlib.crc32(w.encode()) for w in folded_words(t)), default=0) for t in texts])
+        return pd.Series([min((zlib.crc32(f"{a} {b}".encode()) for a, b in pairwise(folded_words(t))), default=zlib.crc32(t.encode())) for t in texts])
 
     marked = sample.where(F.col("text").isNotNull()).select("label", "text", mark("text").alias("mark"))
     once = marked.groupBy("mark", F.col("label") > 0).agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
@@ -108,6 +112,26 @@ def learn_lexicon(
     for s in sorted(best, key=lambda x: (len(x), x)):  # what a shorter entry already matches goes
         if not any(s.startswith(p) for p in out):
             out[s] = best[s][1]
+    every = matcher(out, ())
+
+    def which(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            texts = [f" {' '.join(folded_words(t))} " for t in b.column("text").to_pylist()]
+            hits = [sorted({t[e - n + 2 : e + 1] for e, (n, _) in every.iter(t)}) for t in texts]
+            yield pa.RecordBatch.from_pydict({"hits": pa.array(hits, pa.list_(pa.string()))})
+
+    where: dict[str, set[int]] = {s: set() for s in out}
+    if every is not None:
+        toxic_texts = once.where(F.col("label") > 0)
+        for i, r in enumerate(toxic_texts.mapInArrow(which, "hits array<string>").collect()):
+            for s in r.hits:
+                where[s].add(i)
+    seen: set[int] = set()
+    for s in sorted(where, key=lambda x: (-len(where[x]), x)):
+        if len(where[s]) < 0.1 * (size.t or 0) and len(where[s] - seen) < max(2, 0.003 * (size.t or 0)):
+            out.pop(s)
+        else:
+            seen |= where[s]
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:most])
 
 
