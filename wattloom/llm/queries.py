@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import op1_language_id
+from .packing import op9_packing
 from .quality import op3_quality
+from .token_counts import op6_token_counts
 from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -15,7 +17,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id,
         op3_quality,
+        op6_token_counts,
         op7_toxicity,
+        op9_packing,
     )
 }
 ORACLE: dict[str, str] = {}
