@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .language import op1_language_id
 from .packing import op9_packing
 from .quality import op3_quality
+from .simhash import op8_simhash
 from .token_counts import op6_token_counts
 from .toxicity import op7_toxicity
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality,
         op6_token_counts,
         op7_toxicity,
+        op8_simhash,
         op9_packing,
     )
 }
