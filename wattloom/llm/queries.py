@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op5_html
 from .language import op1_language_id
 from .packing import op9_packing
 from .quality import op3_quality
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id,
         op3_quality,
+        op5_html,
         op6_token_counts,
         op7_toxicity,
         op8_simhash,
