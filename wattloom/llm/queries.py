@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import OP10_SQL, op10_embedding_dedup
 from .html_text import op5_html
 from .language import op1_language_id
 from .packing import op9_packing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_toxicity,
         op8_simhash,
         op9_packing,
+        op10_embedding_dedup,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_embedding_dedup": OP10_SQL}
