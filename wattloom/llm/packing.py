@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,24 +22,60 @@ from .token_counts import tokenizer
 
 # fixed value: the white space at which the word vocabulary always cuts
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+SEPARATORS = re.compile("[\x1c-\x1f]")
 KEPT_WORDS = 300_000
 RANKED = 100_000
 _CACHE: dict = {}
 
 
+def byte_letters(word: str) -> str:
+    """The word as the byte-level step spells it: printable Latin-1 bytes stand for themselves, the
+    others, in order, for the characters from 256 on."""
+    if "bytes" not in _CACHE:
+        same = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in same]
+        _CACHE["bytes"] = [chr(b) if b in same else chr(256 + others.index(b)) for b in range(256)]
+    return "".join([_CACHE["bytes"][b] for b in word.encode()])
+
+
+def plain(word: str) -> bool:
+    """Latin letters only, composed: one pre-token, which only lower-casing changes."""
+    return word.isalpha() and (word.isascii() or (max(word) <= "\u024f" and word.lower().isalpha() and unicodedata.is_normalized("NFC", word)))
+
+
 def encode(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit words. Pre-tokens never hold white space, so each
-    distinct run between white space is encoded once and kept."""
-    known = _CACHE.setdefault(path, {})
-    parts = [SPACE.split(t) if t else [] for t in texts]
-    fresh = list({w for p in parts for w in p if w not in known})
-    if len(known) + len(fresh) > KEPT_WORDS:
-        known.clear()
-        fresh = list({w for p in parts for w in p})
+    """Ids of each text as little-endian 32-bit words.
+
+    Pre-tokens never hold white space, so each distinct run between white space is encoded once
+    and kept (a bounded number of them). A run of Latin letters with marks behind it is the word,
+    encoded once for all its spellings, and the marks; any other run goes through the library's
+    whole chain.
+    """
+    runs, words = _CACHE.setdefault(path, ({}, {}))
+    parts = [(SPACE.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
+    fresh = {w for p in parts for w in p if w not in runs}
+    if len(runs) + len(fresh) > KEPT_WORDS:
+        runs.clear()
+        fresh = {w for p in parts for w in p}
+    if len(words) > KEPT_WORDS:
+        words.clear()
     t = tokenizer(path)
-    for w, e in zip(fresh, t.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in p]) for p in parts]
+    cut = {w: w.rstrip(".,;:!?") for w in fresh}
+    whole = [w for w, core in cut.items() if not plain(core)]
+    marks = {w[len(core) :] for w, core in cut.items()} - words.keys()
+    for w, e in zip([*whole, *marks], t.encode_batch_fast([*whole, *marks], add_special_tokens=False), strict=True):
+        words[w] = np.array(e.ids, "<u4").tobytes()
+    rest = set(whole)
+    for w, core in cut.items():
+        if w in rest:
+            runs[w] = words.pop(w)
+            continue
+        low = core.lower()
+        ids = words.get(low)
+        if ids is None:
+            ids = words[low] = array("I", [x.id for x in t.model.tokenize(low if low.isascii() else byte_letters(low))]).tobytes()
+        runs[w] = ids + words[w[len(core) :]]
+    return [b"".join([runs[w] for w in p]) for p in parts]
 
 
 def pieces_table(docs: DataFrame, path: str, size: int, end_id: int, key: str, text: str, where: str) -> DataFrame:
