@@ -7,16 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import scratch_path
 from .common import read, ship, slices
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 48 << 20
+BLOCK_ROWS = 1 << 16
+OWN = "\x00block"
 HELD_SUMS = 1 << 21
 # fixed value: the split of the byte-level vocabulary
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -58,50 +60,73 @@ def pre_tokens(text: str, path: str) -> list[str]:
     return out
 
 
-def pre_token_table(docs: DataFrame, path: str, key: str, text: str, where: str) -> DataFrame:
-    """Written table of pre-token frequencies by block of documents.
+def pieces_of(docs: DataFrame, path: str, text: str) -> DataFrame:
+    """(token, pieces): each distinct pre-token of the corpus and its pieces, counted once."""
 
-    A row with a token: its documents' places in the block and how often each has it. A row
-    without: the block's keys and byte counts. Repeated words of a block thus share a row.
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", BLOCK_BYTES):
+            seen: set[str] = set()
+            for t in b.column("text").to_pylist():
+                seen.update(pre_tokens(t, path) if t else ())
+            for part in _parts(list(seen)):
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["token"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(path)
+        for b in batches:
+            n = [len(e.ids) for e in t.encode_batch_fast(b.column("token").to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([b.column("token").cast(pa.string()), pa.array(n, pa.int32())], ["token", "pieces"])
+
+    every = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(words, "token string").distinct()
+    return every.mapInArrow(count, "token string, pieces int")
+
+
+def _parts(x: list, size: int = 20_000) -> Iterator[list]:
+    return (x[a : a + size] for a in range(0, len(x), size))
+
+
+def frequencies(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
+    """Pre-token frequencies, by block of documents: a repeated pre-token has one row per block.
+
+    uses: the places (2 bytes) of its documents in the block, then how often each has it (1 byte;
+    more than 255 times are several entries). One more row per block, under a token of its own
+    that no text can hold, has the block's keys and byte counts.
     """
     kind = to_arrow_type(docs.schema[key].dataType)
-    schema = pa.schema(
-        [("block", pa.int64()), ("token", pa.string()), ("place", pa.list_(pa.int32())), ("times", pa.list_(pa.int32())), ("ids", pa.list_(kind)), ("sizes", pa.list_(pa.int64()))]
-    )
+    schema = pa.schema([("token", pa.string()), ("block", pa.int64()), ("uses", pa.binary()), ("ids", pa.list_(kind)), ("sizes", pa.list_(pa.int64()))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        for n, b in enumerate(slices(batches, "text", BLOCK_BYTES)):
-            block = first + n
-            number: dict[str, int] = {}
-            codes, sizes = [], []
-            for t in b.column("text").to_pylist():
-                sizes.append(len(t.encode("utf-8", "replace")) if t else 0)
-                codes.append(np.fromiter((number.setdefault(w, len(number)) for w in pre_tokens(t, path)), np.int64) if t else np.zeros(0, np.int64))
-            rows = len(codes)
-            cell = np.concatenate(codes) * rows + np.repeat(np.arange(rows), [len(c) for c in codes])
-            cell, times = np.unique(cell, return_counts=True)
-            words = list(number)
-            ends = np.append(np.searchsorted(cell, np.arange(len(words)) * rows), len(cell))
-            place, times = (cell % rows).astype(np.int32), times.astype(np.int32)
-            for a in range(0, len(words), 20_000):
-                z = min(a + 20_000, len(words))
-                cut = pa.array((ends[a : z + 1] - ends[a]).astype(np.int32))
-                part = slice(ends[a], ends[z])
-                none = [None] * (z - a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * (z - a)), pa.array(words[a:z]), pa.ListArray.from_arrays(cut, pa.array(place[part])), pa.ListArray.from_arrays(cut, pa.array(times[part])), pa.array(none, schema.field("ids").type), pa.array(none, schema.field("sizes").type)],
-                    schema=schema,
-                )
-            ids = pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), b.column("id").cast(kind))
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([None], pa.string()), *[pa.array([None], pa.list_(pa.int32()))] * 2, ids, pa.array([sizes], pa.list_(pa.int64()))], schema=schema)
-
+        block = TaskContext.get().partitionId() << 32
+        for whole in slices(batches, "text", BLOCK_BYTES):
+            for b in (whole.slice(a, BLOCK_ROWS) for a in range(0, whole.num_rows, BLOCK_ROWS)):
+                number: dict[str, int] = {}
+                codes, sizes = [], []
+                for t in b.column("text").to_pylist():
+                    sizes.append(len(t.encode("utf-8", "replace")) if t else 0)
+                    codes.append(np.fromiter((number.setdefault(w, len(number)) for w in pre_tokens(t, path)), np.int64) if t else np.zeros(0, np.int64))
+                rows = len(codes)
+                cell = np.concatenate(codes) * rows + np.repeat(np.arange(rows), [len(c) for c in codes])
+                del codes
+                cell, times = np.unique(cell, return_counts=True)
+                cell = np.repeat(cell, -(-times // 255))
+                first = np.append(True, cell[1:] != cell[:-1]) if len(cell) else np.zeros(0, bool)
+                many = np.full(len(cell), 255)
+                many[first] = (times - 1) % 255 + 1
+                ends = np.append(np.searchsorted(cell, np.arange(len(number)) * rows), len(cell))
+                place, many = (cell % rows).astype("<u2"), many.astype("u1")
+                words = list(number)
+                for at in range(0, len(words), 20_000):
+                    part = words[at : at + 20_000]
+                    uses = [place[a:z].tobytes() + many[a:z].tobytes() for a, z in zip(ends[at:].tolist(), ends[at + 1 : at + 20_001].tolist(), strict=False)]
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([block] * n, pa.int64()), pa.array(uses, pa.binary()), pa.nulls(n, schema.field("ids").type), pa.nulls(n, schema.field("sizes").type)], schema=schema)
+                ids = pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), b.column("id").cast(kind))
+                yield pa.RecordBatch.from_arrays([pa.array([f"{OWN}{block}"]), pa.array([block]), pa.nulls(1, pa.binary()), ids, pa.array([sizes], pa.list_(pa.int64()))], schema=schema)
+                block += 1
+
+    source = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     id_type = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        count, f"block long, token string, place array<int>, times array<int>, ids array<{id_type}>, sizes array<long>"
-    )
-    out.write.parquet(where)
-    return docs.sparkSession.read.parquet(where)
+    return source.mapInArrow(count, f"token string, block long, uses binary, ids array<{id_type}>, sizes array<long>")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,22 +135,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     Pieces are counted once per distinct pre-token by the tokenizer file at `path` (a byte-level
     vocabulary of the tokenizers library), joined to the pre-token frequencies, and summed; ids are
     never held. NULL and empty texts count 0. Rows that repeat come back as often; other columns
-    are left out. Frequent pre-tokens have one row per block of documents; the join splits them
-    further where Spark finds them skewed.
+    are left out. A frequent pre-token has one row per block of documents; the join splits those
+    rows where Spark finds them skewed.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    table = pre_token_table(docs, path, key, text, scratch_path(spark, "pretokens"))
-    words = table.where(F.col("token").isNotNull())
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
-        for b in batches:
-            n = [len(e.ids) for e in t.encode_batch_fast(b.column("token").to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column("token").cast(pa.string()), pa.array(n, pa.int64())], ["token", "pieces"])
-
-    counted = words.select("token").distinct().mapInArrow(pieces, "token string, pieces long")
-    joined = words.join(counted, "token").select("block", "pieces", "place", "times")
+    ship(docs.sparkSession)
+    id_type = docs.schema[key].dataType.simpleString()
+    kind = to_arrow_type(docs.schema[key].dataType)
+    joined = frequencies(docs, path, key, text).join(pieces_of(docs, path, text), "token", "left")
+    joined = joined.select("block", "uses", "pieces", "ids", "sizes")
+    fields = [("block", pa.int64()), ("place", pa.binary()), ("total", pa.binary()), ("ids", pa.list_(kind)), ("sizes", pa.list_(pa.int64()))]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -133,40 +151,55 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
         def out() -> Iterator[pa.RecordBatch]:
             for block, v in held.items():
                 at = np.flatnonzero(v)
-                yield pa.RecordBatch.from_pydict({"block": [block], "place": [at.astype(np.int32)], "total": [v[at]]})
+                small = v[at].max(initial=0) < 1 << 32
+                data = [[block], [at.astype("<u2").tobytes()], [v[at].astype("<u4" if small else "<u8").tobytes()], [None], [None]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(data, fields, strict=True)], schema=pa.schema(fields))
 
         for b in batches:
-            place = b.column("place")
-            size = np.diff(place.offsets.to_numpy())
-            at = place.flatten().to_numpy()
-            n = np.repeat(b.column("pieces").to_numpy(), size) * b.column("times").flatten().to_numpy()
+            own = b.filter(pc.is_null(b.column("uses")))
+            if own.num_rows:
+                none = pa.nulls(own.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column("block"), none, none, own.column("ids").cast(pa.list_(kind)), own.column("sizes").cast(pa.list_(pa.int64()))], schema=pa.schema(fields))
+            b = b.filter(pc.is_valid(b.column("uses")))
+            uses = b.column("uses").to_pylist()
+            size = np.array([len(u) // 3 for u in uses], np.int64)
+            if not len(size):
+                continue
+            at = np.frombuffer(b"".join(u[: 2 * n] for u, n in zip(uses, size.tolist(), strict=True)), "<u2")
+            n = np.frombuffer(b"".join(u[2 * n :] for u, n in zip(uses, size.tolist(), strict=True)), "u1")
+            n = np.repeat(b.column("pieces").to_numpy(), size) * n.astype(np.int64)
             block = np.repeat(b.column("block").to_numpy(), size)
             order = np.argsort(block, kind="stable")
             names, first = np.unique(block[order], return_index=True)
             for name, some in zip(names.tolist(), np.split(order, first[1:]), strict=True):
                 v = np.bincount(at[some], n[some]).astype(np.int64)
-                old = held.get(name)
-                if old is not None:
-                    longer, shorter = (old, v) if len(old) >= len(v) else (v, old)
-                    longer[: len(shorter)] += shorter
-                    v = longer
-                held[name] = v
+                held[name] = _sum(held[name], v) if name in held else v
             if sum(map(len, held.values())) > HELD_SUMS:
                 yield from out()
                 held.clear()
         yield from out()
 
     def total(t: pa.Table) -> pa.Table:
-        at = t.column("place").combine_chunks().flatten().to_numpy()
-        v = np.bincount(at, t.column("total").combine_chunks().flatten().to_numpy()).astype(np.int64)
-        return pa.table({"block": t.column("block").slice(0, 1), "totals": pa.array([v], pa.list_(pa.int64()))})
-
-    sums = joined.mapInArrow(partial, "block long, place array<int>, total array<long>")
-    sums = sums.groupBy("block").applyInArrow(total, "block long, totals array<long>")
-    blocks = table.where(F.col("token").isNull()).select("block", "ids", "sizes")
-    rows = blocks.join(sums, "block", "left").select(F.inline(F.arrays_zip("ids", "sizes", F.coalesce("totals", F.array().cast("array<long>")).alias("totals"))))
-    n = F.coalesce("totals", F.lit(0)).cast("long")
-    return rows.select(F.col("ids").alias(key), F.col("sizes").alias("n_bytes"), n.alias("n_tokens"), (n > limit).alias("over_limit"))
+        v = np.zeros(0, np.int64)
+        for at, x in zip(t.column("place").to_pylist(), t.column("total").to_pylist(), strict=True):
+            if at:
+                at = np.frombuffer(at, "<u2")
+                v = _sum(v, np.bincount(at, np.frombuffer(x, "<u4" if len(x) == 4 * len(at) else "<u8")).astype(np.int64))
+        own = t.filter(pc.is_valid(t.column("sizes")))
+        ids, sizes = own.column("ids").combine_chunks().flatten(), own.column("sizes").combine_chunks().flatten()
+        v = np.concatenate([v, np.zeros(len(ids) - len(v), np.int64)])
+        return pa.table({"id": ids.cast(kind), "n_bytes": sizes, "n_tokens": pa.array(v, pa.int64())})
+
+    sums = joined.mapInArrow(partial, f"block long, place binary, total binary, ids array<{id_type}>, sizes array<long>")
+    rows = sums.groupBy("block").applyInArrow(total, f"id {id_type}, n_bytes long, n_tokens long")
+    return rows.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    out = a.copy()
+    out[: len(b)] += b
+    return out
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
