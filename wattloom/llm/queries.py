@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .embedding_dedup import OP10_SQL, op10_embedding_dedup
 from .html_text import op5_html
 from .language import op1_language_id
+from .nearest import op4_nearest
 from .packing import op9_packing
 from .quality import op3_quality
 from .simhash import op8_simhash
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id,
         op3_quality,
+        op4_nearest,
         op5_html,
         op6_token_counts,
         op7_toxicity,
