@@ -90,10 +90,11 @@ def frequencies(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
 
     uses: the places (2 bytes) of its documents in the block, then how often each has it (1 byte;
     more than 255 times are several entries). One more row per block, under a token of its own
-    that no text can hold, has the block's keys and byte counts.
+    that no text can hold, has the block's keys and byte counts (as an Arrow stream: list columns
+    make Spark's batches slow to build).
     """
     kind = to_arrow_type(docs.schema[key].dataType)
-    schema = pa.schema([("token", pa.string()), ("block", pa.int64()), ("uses", pa.binary()), ("ids", pa.list_(kind)), ("sizes", pa.list_(pa.int64()))])
+    schema = pa.schema([("token", pa.string()), ("block", pa.int64()), ("uses", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -119,14 +120,20 @@ def frequencies(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
                     part = words[at : at + 20_000]
                     uses = [place[a:z].tobytes() + many[a:z].tobytes() for a, z in zip(ends[at:].tolist(), ends[at + 1 : at + 20_001].tolist(), strict=False)]
                     n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([block] * n, pa.int64()), pa.array(uses, pa.binary()), pa.nulls(n, schema.field("ids").type), pa.nulls(n, schema.field("sizes").type)], schema=schema)
-                ids = pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), b.column("id").cast(kind))
-                yield pa.RecordBatch.from_arrays([pa.array([f"{OWN}{block}"]), pa.array([block]), pa.nulls(1, pa.binary()), ids, pa.array([sizes], pa.list_(pa.int64()))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([block] * n, pa.int64()), pa.array(uses, pa.binary())], schema=schema)
+                own = pa.RecordBatch.from_arrays([b.column("id").cast(kind), pa.array(sizes, pa.int64())], ["id", "n_bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{OWN}{block}"]), pa.array([block]), pa.array([packed(own)])], schema=schema)
                 block += 1
 
     source = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    id_type = docs.schema[key].dataType.simpleString()
-    return source.mapInArrow(count, f"token string, block long, uses binary, ids array<{id_type}>, sizes array<long>")
+    return source.mapInArrow(count, "token string, block long, uses binary")
+
+
+def packed(b: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, b.schema) as w:
+        w.write_batch(b)
+    return sink.getvalue().to_pybytes()
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,9 +148,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     ship(docs.sparkSession)
     id_type = docs.schema[key].dataType.simpleString()
     kind = to_arrow_type(docs.schema[key].dataType)
-    joined = frequencies(docs, path, key, text).join(pieces_of(docs, path, text), "token", "left")
-    joined = joined.select("block", "uses", "pieces", "ids", "sizes")
-    fields = [("block", pa.int64()), ("place", pa.binary()), ("total", pa.binary()), ("ids", pa.list_(kind)), ("sizes", pa.list_(pa.int64()))]
+    # every distinct pre-token is one small row; hashing those spares sorting the frequencies
+    joined = frequencies(docs, path, key, text).join(pieces_of(docs, path, text).hint("shuffle_hash"), "token", "left")
+    joined = joined.select("block", "uses", F.when(~F.startswith("token", F.lit(OWN)), F.col("pieces")).alias("pieces"))
+    fields = [("block", pa.int64()), ("place", pa.binary()), ("total", pa.binary())]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -152,15 +160,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
             for block, v in held.items():
                 at = np.flatnonzero(v)
                 small = v[at].max(initial=0) < 1 << 32
-                data = [[block], [at.astype("<u2").tobytes()], [v[at].astype("<u4" if small else "<u8").tobytes()], [None], [None]]
+                data = [[block], [at.astype("<u2").tobytes()], [v[at].astype("<u4" if small else "<u8").tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(data, fields, strict=True)], schema=pa.schema(fields))
 
         for b in batches:
-            own = b.filter(pc.is_null(b.column("uses")))
+            own = b.filter(pc.is_null(b.column("pieces")))
             if own.num_rows:
-                none = pa.nulls(own.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([own.column("block"), none, none, own.column("ids").cast(pa.list_(kind)), own.column("sizes").cast(pa.list_(pa.int64()))], schema=pa.schema(fields))
-            b = b.filter(pc.is_valid(b.column("uses")))
+                yield pa.RecordBatch.from_arrays([own.column("block"), pa.nulls(own.num_rows, pa.binary()), own.column("uses").cast(pa.binary())], schema=pa.schema(fields))
+            b = b.filter(pc.is_valid(b.column("pieces")))
             uses = b.column("uses").to_pylist()
             size = np.array([len(u) // 3 for u in uses], np.int64)
             if not len(size):
@@ -182,15 +189,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     def total(t: pa.Table) -> pa.Table:
         v = np.zeros(0, np.int64)
         for at, x in zip(t.column("place").to_pylist(), t.column("total").to_pylist(), strict=True):
-            if at:
+            if at is None:
+                own = pa.ipc.open_stream(x).read_all()
+            elif at:
                 at = np.frombuffer(at, "<u2")
                 v = _sum(v, np.bincount(at, np.frombuffer(x, "<u4" if len(x) == 4 * len(at) else "<u8")).astype(np.int64))
-        own = t.filter(pc.is_valid(t.column("sizes")))
-        ids, sizes = own.column("ids").combine_chunks().flatten(), own.column("sizes").combine_chunks().flatten()
-        v = np.concatenate([v, np.zeros(len(ids) - len(v), np.int64)])
-        return pa.table({"id": ids.cast(kind), "n_bytes": sizes, "n_tokens": pa.array(v, pa.int64())})
+        v = np.concatenate([v, np.zeros(own.num_rows - len(v), np.int64)])
+        return pa.table({"id": own.column("id").cast(kind), "n_bytes": own.column("n_bytes"), "n_tokens": pa.array(v, pa.int64())})
 
-    sums = joined.mapInArrow(partial, f"block long, place binary, total binary, ids array<{id_type}>, sizes array<long>")
+    sums = joined.mapInArrow(partial, "block long, place binary, total binary")
     rows = sums.groupBy("block").applyInArrow(total, f"id {id_type}, n_bytes long, n_tokens long")
     return rows.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
