@@ -11,6 +11,7 @@ from .html_text import op5_html
 from .language import op1_language_id
 from .nearest import op4_nearest
 from .packing import op9_packing
+from .pieces import op2_sentencepiece
 from .quality import op3_quality
 from .simhash import op8_simhash
 from .token_counts import op6_token_counts
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op2_sentencepiece,
         op3_quality,
         op4_nearest,
         op5_html,
