@@ -182,15 +182,15 @@ def runs_of(text: str) -> list[str]:
 
 
 def segmentations(lattice: Lattice, text: str | None, k: int, seed: int) -> list[tuple[np.ndarray, float, float]]:
-    """At most k distinct segmentations, best perturbed score first: (ids, log probability, inclusion).
+    """At most k distinct segmentations, best perturbed score first: (ids, log probability, log inclusion).
 
     Every segmentation has its log probability plus Gumbel noise; the k largest are drawn without
     replacement. The search is best first over groups of segmentations: all that share a prefix and
     then take none of some steps. A group's bound, a Gumbel variable at its log mass under the bound
     of the group it came from, is the score of its best member: popping the best group, drawing that
-    member and dividing what is left at each of its later steps needs no other expansion. inclusion
-    is 1 - exp(-exp(log probability - threshold)), the threshold being the next score, or 1 where
-    nothing is left.
+    member and dividing what is left at each of its later steps needs no other expansion. The
+    inclusion score is 1 - exp(-exp(log probability - threshold)), the threshold being the next
+    score, or 1 where nothing is left; long texts need its logarithm.
     """
     lattice.make_room()
     starts = lattice.states_of(text)
@@ -201,7 +201,7 @@ def segmentations(lattice: Lattice, text: str | None, k: int, seed: int) -> list
 def drawn(lattice: Lattice, starts: np.ndarray, k: int, seed: int) -> list[tuple[np.ndarray, float, float]]:
     """`segmentations` of a text given by the first states of its words."""
     if not len(starts):
-        return [(np.zeros(0, np.int64), 0.0, 1.0)]
+        return [(np.zeros(0, np.int64), 0.0, 0.0)]
     rng = np.random.default_rng(seed)
     score = float(rng.gumbel())
     # -bound, tie, (member before, step where it turns off, steps barred there)
@@ -255,7 +255,9 @@ def drawn(lattice: Lattice, starts: np.ndarray, k: int, seed: int) -> list[tuple
     threshold = -queue[0][0] if queue else -inf
     out = []
     for rows, logp in found:
-        inclusion = 1.0 if threshold == -inf else float(-np.expm1(-np.exp(min(logp - threshold, 700.0))))
+        x = min(logp - threshold, 700.0)
+        # of small arguments 1 - exp(-y) is y
+        inclusion = 0.0 if threshold == -inf else x if x < -40 else log(-float(np.expm1(-exp(x))))
         step = lattice.piece[rows]
         if len(step) and step.min() < 0:
             step = np.array([p for s in step.tolist() for p in (lattice.spelt[-1 - s] if s < 0 else (s,))], np.int64)
@@ -282,11 +284,12 @@ def spell(lattice: Lattice, ids: list[int]) -> str:
 def sample_segmentations(
     docs: DataFrame, path: str, k: int = 2, sharpness: float = 1.0, seed: int = 11, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(key, rank, ids, log_prob, inclusion): at most k distinct segmentations of every row's text.
+    """(key, rank, ids, log_prob, log_inclusion, inclusion): at most k distinct segmentations of every row's text.
 
     Whole texts, normalised by the SentencePiece file at `path`. The noise is seeded by `seed` and
     the key's text, so a recomputed task draws the same. NULL and empty texts have one segmentation
-    without pieces (log_prob 0, inclusion 1); texts with fewer than k have all of them, with
+    without pieces (log_prob 0, inclusion 1); a long text's inclusion may be too small for a double,
+    which log_inclusion never is; texts with fewer than k have all of them, with
     inclusion 1. Rows that repeat are drawn alike and come back as often; a NULL key draws like the
     text 'null'; other columns are left out. No shuffle.
     """
@@ -310,10 +313,10 @@ def sample_segmentations(
                     inclusion.append(inc)
             ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(rank, pa.int32()), lists, pa.array(logp), pa.array(inclusion)], ["id", "rank", "ids", "log_prob", "inclusion"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(rank, pa.int32()), lists, pa.array(logp), pa.array(inclusion)], ["id", "rank", "ids", "log_prob", "log_inclusion"])
 
-    out = source.mapInArrow(draw, f"id {id_type}, rank int, ids array<int>, log_prob double, inclusion double")
-    return out.withColumnRenamed("id", key)
+    out = source.mapInArrow(draw, f"id {id_type}, rank int, ids array<int>, log_prob double, log_inclusion double")
+    return out.withColumnRenamed("id", key).withColumn("inclusion", F.exp("log_inclusion"))
 
 
 def decoded(ids: Column, path: str, sharpness: float = 1.0) -> Column:
@@ -328,7 +331,8 @@ def decoded(ids: Column, path: str, sharpness: float = 1.0) -> Column:
 
 
 def digests(docs: DataFrame, path: str, k: int = 2, sharpness: float = 1.0, seed: int = 11) -> DataFrame:
-    """(doc_id, rank, n_pieces, ids_crc32, log_prob, inclusion) of the segmentations."""
+    """(doc_id, rank, n_pieces, ids_crc32, log_prob, log_inclusion, inclusion) of the
+    segmentations."""
     rows = sample_segmentations(docs, path, k, sharpness, seed)
     ship(docs.sparkSession)
 
@@ -336,7 +340,7 @@ def digests(docs: DataFrame, path: str, k: int = 2, sharpness: float = 1.0, seed
     def crc(ids: pd.Series) -> pd.Series:
         return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
 
-    return rows.select("doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), crc("ids").alias("ids_crc32"), "log_prob", "inclusion")
+    return rows.select("doc_id", "rank", F.size("ids").cast("long").alias("n_pieces"), crc("ids").alias("ids_crc32"), "log_prob", "log_inclusion", "inclusion")
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
