@@ -97,11 +97,14 @@ def best(edges: DataFrame, k: int, threshold: float, most: int) -> DataFrame:
     return ranked.where((F.col("r") <= k) | (F.col("sim") >= threshold)).drop("r")
 
 
-def descend(graph: DataFrame, classes: DataFrame) -> DataFrame:
-    """(u, v, sim) better than what u has: every node compares its neighbours, in both directions,
-    with each other. Incoming neighbours of a hub are dealt into chunks of about IN_CHUNK, each
+def descend(graph: DataFrame, classes: DataFrame, threshold: float, most: int) -> DataFrame:
+    """(u, v, sim) better than what u has, or, while u has fewer than `most`, at the threshold: every
+    node compares its neighbours, in both directions, with each other, and each takes along `most`
+    of a group at best (which fills its list). Incoming neighbours of a hub are dealt into chunks of about IN_CHUNK, each
     compared with all outgoing ones."""
-    worst = graph.groupBy("u").agg(F.min("sim").alias("worst")).withColumnRenamed("u", "m")
+    worst = graph.groupBy(F.col("u").alias("m")).agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("size"))
+    low = F.when(F.col("size") < most, F.least("low", F.lit(threshold - 1e-9))).otherwise(F.col("low"))
+    worst = worst.select("m", low.alias("worst"))
     out = graph.select(F.col("u").alias("p"), F.col("v").alias("m"), "fresh")
     into = graph.select(F.col("v").alias("p"), F.col("u").alias("m"), "fresh")
     chunks = into.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / IN_CHUNK).cast("int").alias("chunks"))
@@ -125,7 +128,12 @@ def descend(graph: DataFrame, classes: DataFrame) -> DataFrame:
                 sim = x @ x.T
                 np.fill_diagonal(sim, -2)
                 new = fresh[a:z]
-                i, j = np.nonzero((sim > worst_[a:z, None]) & (new[:, None] | new[None, :]))
+                take = (sim > worst_[a:z, None]) & (new[:, None] | new[None, :])
+                for row in np.flatnonzero(take.sum(axis=1) > most):
+                    at = np.flatnonzero(take[row])
+                    take[row] = False
+                    take[row, at[np.argpartition(-sim[row, at], most - 1)[:most]]] = True
+                i, j = np.nonzero(take)
                 us.append(m[a + i])
                 vs.append(m[a + j])
                 sims.append(sim[i, j])
@@ -202,7 +210,7 @@ def near_duplicates(
     start = leaves(classes, trees, leaf, k, seed).withColumn("fresh", F.lit(True))
     graph = cut_lineage(best(start, k, threshold, most))
     for i in range(rounds + extra):
-        new = descend(graph, classes).withColumn("fresh", F.lit(True))
+        new = descend(graph, classes, threshold, most).withColumn("fresh", F.lit(True))
         graph = cut_lineage(best(graph.withColumn("fresh", F.lit(False)).unionByName(new), k, threshold, most))
         if i + 1 < rounds:
             continue
