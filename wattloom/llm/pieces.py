@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import read, ship, slices
 
-KEPT_STATES = 3_000_000
+KEPT_STATES = 700_000
 _CACHE: dict = {}
 
 
@@ -54,8 +54,8 @@ class Lattice:
         self.states = self.rows = 0
         # of each row: next state (-1 at the word's end), piece (or -1 - place in `spelt`), log
         # probability and the state's probability from this row on; of each state: its first row
-        self.next, self.piece = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.lp, self.cum = np.zeros(1024), np.zeros(1024)
+        self.next, self.piece = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.lp, self.cum = np.zeros(1024), np.zeros(1024, np.float32)
         self.at = np.zeros(1024, np.int64)
         self._first: list[int] = []
         self._to: list[int] = []
