@@ -92,6 +92,6 @@ def weather_interactions(df: DataFrame) -> DataFrame:
             "weekend_heating": F.col("is_weekend") * hdd,
             "weekday_heating": F.col("is_weekday") * hdd,
             "summer_cooling": F.col("is_summer") * cdd,
-            "holiday_consumption": F.col("is_holiday") * F.col("total_kwh"),
+            "holiday_consumption_boost": F.col("is_holiday") * F.col("total_kwh"),
         }
     )

@@ -9,21 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.common import nan_to_null, ratio
 from ..schema import ID
-from ..session import BROADCAST_ROWS, with_scalars
+from ..session import with_scalars
 from .quantiles import rank_values
 
 
 def label_codes(df: DataFrame, col: str, out: str) -> DataFrame:
-    """(col, out): sorted distinct non-NULL values numbered from 0.
+    """(col, out): sorted distinct non-NULL values numbered from 0, as int at every size.
 
-    Values counted as few are numbered in one task and broadcast; more are numbered by
-    ordered bins, with no single-task sort, and joined by shuffle.
+    Numbered by ordered bins, with no single-task sort; more values than an int holds raise.
     """
     values = df.select(col).where(F.col(col).isNotNull()).distinct()
-    if values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        code = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(col)) - 1
-        return F.broadcast(values.select(col, code.cast("int").alias(out)))
-    return rank_values(values, [col]).select(col, F.col("code").cast("bigint").alias(out))
+    return rank_values(values, [col]).select(col, F.col("code").cast("int").alias(out))
 
 
 def encode_labels(df: DataFrame, col: str, out: str, fit_on: DataFrame | None = None) -> DataFrame:

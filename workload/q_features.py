@@ -308,11 +308,11 @@ def _(fx):
 @query(
     "weather_interactions",
     """SELECT "LCLid", day, {{is_weekend * heating_degree_days}} AS weekend_heating, {{is_weekday * heating_degree_days}} AS weekday_heating,
-    {{is_summer * cooling_degree_days}} AS summer_cooling, {{is_holiday * total_kwh}} AS holiday_consumption FROM feat""",
+    {{is_summer * cooling_degree_days}} AS summer_cooling, {{is_holiday * total_kwh}} AS holiday_consumption_boost FROM feat""",
 )
 def _(fx):
     return wx.weather_interactions(fx.features()).select(
-        ID, DAY, "weekend_heating", "weekday_heating", "summer_cooling", "holiday_consumption"
+        ID, DAY, "weekend_heating", "weekday_heating", "summer_cooling", "holiday_consumption_boost"
     )
 
 
