@@ -13,6 +13,7 @@ from .nearest import op4_nearest
 from .packing import op9_packing
 from .pieces import op2_sentencepiece
 from .quality import op3_quality
+from .runs import op13_periodic_runs
 from .simhash import op8_simhash
 from .token_counts import op6_token_counts
 from .toxicity import op7_toxicity
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_packing,
         op10_embedding_dedup,
+        op13_periodic_runs,
     )
 }
 ORACLE: dict[str, str] = {"op10_embedding_dedup": OP10_SQL}
