@@ -11,6 +11,7 @@ from .html_text import op5_html
 from .language import op1_language_id
 from .nearest import op4_nearest
 from .packing import op9_packing
+from .parsing import op11_fingerprints
 from .pieces import op2_sentencepiece
 from .quality import op3_quality
 from .runs import op13_periodic_runs
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_packing,
         op10_embedding_dedup,
+        op11_fingerprints,
         op13_periodic_runs,
     )
 }
