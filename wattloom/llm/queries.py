@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP12_SQL, op12_collocations
 from .embedding_dedup import OP10_SQL, op10_embedding_dedup
 from .html_text import op5_html
 from .language import op1_language_id
@@ -33,7 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_packing,
         op10_embedding_dedup,
         op11_fingerprints,
+        op12_collocations,
         op13_periodic_runs,
     )
 }
-ORACLE: dict[str, str] = {"op10_embedding_dedup": OP10_SQL}
+ORACLE: dict[str, str] = {"op10_embedding_dedup": OP10_SQL, "op12_collocations": OP12_SQL}
