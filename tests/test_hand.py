@@ -252,9 +252,65 @@ def test_samples_do_not_depend_on_partitioning(spark):
     assert sorted(a) == sorted(b) and len(a) == 20
 
 
-def test_large_tables_get_no_broadcast_hint(spark, monkeypatch):
-    from wattloom.session import broadcast_if_small
-
-    dim = spark.range(100).select(F.concat(F.lit("M"), "id").alias("LCLid"))
-    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
-    assert hinted(broadcast_if_small(dim, 100)) and not hinted(broadcast_if_small(dim, 99))
+def test_building_a_query_starts_no_job(spark, sf):
+    from wattloom.operators import analytics, panel, splits
+    from wattloom.plans.feature_table import feature_table, prepare_day_ahead
+    from workload.fixtures import Fixtures
+
+    fx = Fixtures(spark, sf)
+    [fx.table(t) for t in ("lineitem", "supplier", "nation", "region", "orders")]  # footers are read once
+    sc = spark.sparkContext
+    sc.setJobGroup("building", "no job")
+    try:
+        m = fx.merged()
+        frames = [
+            m,
+            prepare_day_ahead(feature_table(m)).data,
+            clean.semi_join_ids(m, fx.household()),
+            clean.cleaning_report(fx.profiles_raw(), fx.household(), fx.weather(), fx.holiday()),
+            analytics.high_usage_households(m),
+            panel.acorn_relatives(m),
+            splits.select_scope(m, fx.household()),
+            fx.slots(),
+        ]
+        [f.schema for f in frames]
+        assert not sc.statusTracker().getJobIdsForGroup("building")
+    finally:
+        sc.setJobGroup("tests", "")
+
+
+def test_doubled_weather_copies_no_readings(spark):
+    days = spark.range(6).select(F.lit("a").alias("LCLid"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    weather = days.select("day", F.lit(1.5).alias("windSpeed"), F.lit(None).cast("double").alias("humidity"))
+    out = clean.join_weather(days, weather.unionByName(weather).unionByName(weather.withColumn("windSpeed", F.lit(9.0))))
+    assert out.count() == 6 and {r.windSpeed for r in out.collect()} == {1.5}
+
+
+def test_one_value_in_most_rows_is_spread_over_the_tasks(spark):
+    from wattloom.operators.quantiles import pct_rank_true
+
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 10 > 0, 7.0).when(F.col("id") % 100 > 0, F.col("id").cast("double")).alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = pct_rank_true(rows, "v").withColumn("task", F.spark_partition_id()).cache()
+        assert got.count() == 20_000
+        most = max(r["count"] for r in got.groupBy("task").count().collect())
+        assert most < 0.3 * 20_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    known = sorted(r.v for r in rows.collect() if r.v is not None)
+    rank = {v: (known.index(v) + (known.count(v) + 1) / 2) / len(known) * 100 for v in set(known[:50] + known[-50:] + [7.0])}
+    for r in got.where("v is not null").dropDuplicates(["v"]).collect():
+        if r.v in rank:
+            assert abs(r.pct_true_rank - rank[r.v]) < 1e-9
+    assert got.where("v is null and pct_true_rank is not null").isEmpty()
+    got.unpersist()
+
+
+def test_own_columns_of_the_day_do_not_leak():
+    from wattloom.operators.columns import leaking_columns
+
+    own = ["gini", "day_night_hours", "calculated_variability", "household_vs_acorn", "zscore_global", "zscore_personal", "total_kwh", "hh_3"]
+    assert leaking_columns([*own, "lag1_total", "acorn_variability", "month"]) == own

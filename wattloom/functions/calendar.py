@@ -98,9 +98,10 @@ def peak_period_flags(df: DataFrame, unit: str = "slot") -> DataFrame:
     )
 
 
-def time_trend(df: DataFrame, day: str = DAY) -> DataFrame:
-    """Days since the first day of the whole table, quarter and its flags."""
-    start = df.agg(F.min(day).alias("__start"))
+def time_trend(df: DataFrame, day: str = DAY, days: DataFrame | None = None) -> DataFrame:
+    """Days since the first day of the whole table (or of `days`, which holds its days), quarter and
+    its flags."""
+    start = (df if days is None else days).agg(F.min(day).alias("__start"))
     q = F.quarter(day)
     return (
         with_scalars(df, start)

@@ -44,12 +44,17 @@ def humidity_cloud_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def wind_quantile_flags(df: DataFrame, approx: bool = False, fit_on=None) -> DataFrame:
-    """Above the upper / below the lower quartile of wind over all rows (or those in `fit_on`)."""
+def wind_quantile_flags(df: DataFrame, approx: bool = False, fit_on=None, days: DataFrame | None = None) -> DataFrame:
+    """Above the upper / below the lower quartile of wind over all rows (or those in `fit_on`).
+    `days` may hold the table's windSpeed with the number of its rows, `n`, in place of the rows."""
     from ..operators.quantiles import quantiles
 
-    src = df if fit_on is None else df.where(fit_on)
-    q = quantiles(src, "windSpeed", [0.25, 0.75], approx=approx).select(F.col("q").alias("__q"))
+    if days is None:
+        src = df if fit_on is None else df.where(fit_on)
+        q = quantiles(src, "windSpeed", [0.25, 0.75], approx=approx)
+    else:
+        q = quantiles(days, "windSpeed", [0.25, 0.75], weight="n")
+    q = q.select(F.col("q").alias("__q"))
     w = F.col("windSpeed")
     return (
         with_scalars(df, q)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import masked_corr, ratio, rows
 from ..schema import DAY, ID, PROFILE, SLOTS
-from ..session import broadcast_if_small, with_scalars
+from ..session import with_scalars
 from .quantiles import five_number, quantiles
 
 
@@ -115,7 +115,7 @@ def high_usage_households(
     means = df.groupBy(ID).agg(F.avg(value).alias("household_mean"))
     cut = quantiles(means, "household_mean", [p], approx=approx).select(F.col("q")[0].alias("__q"))
     ids = with_scalars(means, cut).where(F.col("household_mean") >= F.col("__q")).select(ID)
-    return df.join(broadcast_if_small(ids), ID, "left_semi")
+    return df.join(ids, ID, "left_semi")
 
 
 def daily_demand(df: DataFrame, value: str = "total_kwh") -> DataFrame:

@@ -16,7 +16,7 @@ from ..schema import (
     SLOTS,
     WEATHER_VALUES,
 )
-from ..session import broadcast_if_small, with_scalars
+from ..session import with_scalars
 
 MISSING_SHARE, MIN_DAYS = 0.2, 30
 
@@ -154,19 +154,20 @@ def interpolate_weather_time(
     One row per day (and station), so the window holds a calendar, not the readings.
     """
     cols = cols or WEATHER_VALUES
-    part = f"PARTITION BY {station or 0} ORDER BY {DAY}"
+    part = f"PARTITION BY {f'`{station}`' if station else 0} ORDER BY {DAY}"
     so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     keep = [c for c in df.columns if c not in cols]
     near, filled = [], []
     for c in cols:
-        known = f"CASE WHEN {c} IS NOT NULL THEN struct({DAY} AS d, {c} AS v) END"
-        near.append(f"last({known}, true) OVER ({part} {so_far}) AS b_{c}")
+        b, a = f"`__b_{c}`", f"`__a_{c}`"
+        known = f"CASE WHEN `{c}` IS NOT NULL THEN struct({DAY} AS d, `{c}` AS v) END"
+        near.append(f"last({known}, true) OVER ({part} {so_far}) AS {b}")
         # looking ahead is the same growing frame in reverse order: a frame to UNBOUNDED
         # FOLLOWING would be rescanned for every row
-        near.append(f"last({known}, true) OVER ({part} DESC {so_far}) AS a_{c}")
-        share = f"try_divide(datediff({DAY}, b_{c}.d), datediff(a_{c}.d, b_{c}.d))"
-        filled.append(f"coalesce({c}, b_{c}.v + (a_{c}.v - b_{c}.v) * {share}, b_{c}.v, a_{c}.v) AS {c}")
-    return df.selectExpr("*", *near).selectExpr(*keep, *filled)
+        near.append(f"last({known}, true) OVER ({part} DESC {so_far}) AS {a}")
+        share = f"try_divide(datediff({DAY}, {b}.d), datediff({a}.d, {b}.d))"
+        filled.append(f"coalesce(`{c}`, {b}.v + ({a}.v - {b}.v) * {share}, {b}.v, {a}.v) AS `{c}`")
+    return df.selectExpr("*", *near).selectExpr(*[f"`{c}`" for c in keep], *filled)
 
 
 def map_holiday_category(df: DataFrame, type_col: str = "Type", day_col: str = "Bank holidays") -> DataFrame:
@@ -180,6 +181,14 @@ def map_holiday_category(df: DataFrame, type_col: str = "Type", day_col: str = "
     )
 
 
+def unique_days(df: DataFrame) -> DataFrame:
+    """One row per day: the smallest by its columns in order, combined map-side."""
+    rest = [c for c in df.columns if c != DAY]
+    return df.groupBy(DAY).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("__s")).select(
+        DAY, *[F.col("__s").getField(c).alias(c) for c in rest]
+    )
+
+
 def unique_holidays(df: DataFrame) -> DataFrame:
     """One holiday per day (lowest category, then type), so the join cannot copy readings."""
     return df.groupBy(DAY).agg(F.min(F.struct("holiday_category", "holiday_type")).alias("s")).select(
@@ -191,13 +200,15 @@ def unique_holidays(df: DataFrame) -> DataFrame:
 
 
 def join_household(df: DataFrame, household: DataFrame) -> DataFrame:
-    """Left join on the household; broadcast only when the table is counted as small."""
-    return df.join(broadcast_if_small(household), ID, "left")
+    """Left join on the household. No hint: a table whose files are small is broadcast by Catalyst,
+    a bigger one is shuffled, and AQE may still change that by the bytes it sees."""
+    return df.join(household, ID, "left")
 
 
 def join_weather(df: DataFrame, weather: DataFrame) -> DataFrame:
-    """Left join on day. One row per day: bounded by the calendar, so broadcast."""
-    return df.join(F.broadcast(weather), DAY, "left")
+    """Left join on day, each day once (see unique_days), so doubled weather rows copy no readings.
+    What is broadcast has one row per calendar day whatever is passed in."""
+    return df.join(F.broadcast(unique_days(weather)), DAY, "left")
 
 
 def join_holiday(df: DataFrame, holiday: DataFrame) -> DataFrame:
@@ -209,13 +220,14 @@ def fill_holiday_default(df: DataFrame) -> DataFrame:
 
 
 def merge_all(df: DataFrame, household: DataFrame, weather: DataFrame, holiday: DataFrame) -> DataFrame:
-    """Readings with the three dimensions. `weather` has one row per day."""
+    """Readings with the three dimensions."""
     out = join_holiday(join_weather(join_household(df, household), weather), holiday)
     return fill_holiday_default(out)
 
 
 def semi_join_ids(df: DataFrame, ids: DataFrame, on: str = ID) -> DataFrame:
-    return df.join(broadcast_if_small(ids.select(on)), on, "left_semi")
+    """Rows whose id is in `ids`. A semi join copies nothing, so `ids` may repeat."""
+    return df.join(ids.select(on), on, "left_semi")
 
 
 def join_back_stats(df: DataFrame, value: str = "total_kwh", by: str = ID) -> DataFrame:
@@ -285,7 +297,7 @@ def cleaning_report(
         F.count_if(F.col("dense") & F.col("wx").isNotNull()).alias("wx_rows"),
         F.count_if(F.col("dense") & F.col("hol").isNotNull()).alias("hol_rows"),
     )
-    per = per.join(broadcast_if_small(dim), ID, "left")
+    per = per.join(dim, ID, "left")
     active = F.col("dense_rows") >= min_days
     steps = [
         ("1 input", F.lit(True), "rows"),

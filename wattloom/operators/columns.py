@@ -21,6 +21,20 @@ from ..schema import (
     TARGET,
 )
 
+# same-day columns of this library, beside the published list
+OWN_SAME_DAY = [
+    "gini",
+    "day_night_hours",
+    "calculated_variability",
+    "household_vs_acorn",
+    "zscore",
+    "is_anomaly",
+    "is_above_max",
+    "daily_vs_hh",
+    "observed",
+    "remainder",
+]
+
 MATCH = {
     "has": lambda c, w: w in c,
     "starts": lambda c, w: c.startswith(w),
@@ -45,7 +59,7 @@ def leaking_columns(cols: Sequence[str], target: str = TARGET) -> list[str]:
         return (
             c == target
             or re.fullmatch(r"hh_\d+", c) is not None
-            or any(MATCH["token"](c, p) for p in LEAKING_PREFIXES)
+            or any(MATCH["token"](c, p) for p in [*LEAKING_PREFIXES, *OWN_SAME_DAY])
         )
 
     return [c for c in cols if leaks(c)]

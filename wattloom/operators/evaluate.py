@@ -32,8 +32,9 @@ def rmse() -> Column:
 
 
 def r2(eps: float = 0.0) -> Column:
-    """1 - SSE/SST; NULL for a constant target unless eps is given."""
-    return 1 - ratio(F.sum(_err() * _err()), F.var_pop(Y) * F.count(Y) + F.lit(eps))
+    """1 - SSE/SST over rows with a prediction; NULL for a constant target unless eps is given."""
+    y = F.when(F.col(P).isNotNull(), F.col(Y))
+    return 1 - ratio(F.sum(_err() * _err()), F.var_pop(y) * F.count(y) + F.lit(eps))
 
 
 def bias() -> Column:

@@ -181,28 +181,29 @@ def household_relatives(df: DataFrame, value: str = "total_kwh") -> DataFrame:
 
 
 def acorn_relatives(df: DataFrame, value: str = "total_kwh", group: str = "Acorn_grouped") -> DataFrame:
-    """The day's value relative to its group.
+    """The household and the day relative to the household's group: group mean and spread, the day's
+    value over the group mean, the group's peak over its mean, and the household's spread over the
+    group's (sample standard deviations).
 
-    A group may hold a third of all rows, so its statistics come from a map-side combined
-    aggregate joined back, not from a window over the group.
+    The household's spread is a window over the household, on the exchange that all panel windows
+    share. A group may hold a third of all rows, so its statistics come from a map-side combined
+    aggregate: one row per published category, which is what is broadcast.
     """
-    from ..session import broadcast_if_small
-
-    stats = df.groupBy(group).agg(
+    stats = df.groupBy(F.col(group).alias("__g")).agg(
         F.avg(value).alias("acorn_mean_consumption"),
         F.max(value).alias("__peak"),
         F.stddev_samp(value).alias("acorn_variability"),
     )
-    stats = stats.withColumnRenamed(group, "__g")
-    out = df.join(broadcast_if_small(stats), F.col(group).eqNullSafe(F.col("__g")), "left")
+    spread = F.stddev_samp(value).over(Window.partitionBy(ID))
+    out = df.withColumn("__spread", spread).join(F.broadcast(stats), F.col(group).eqNullSafe(F.col("__g")), "left")
     mean, sd = F.col("acorn_mean_consumption"), F.col("acorn_variability")
     return out.withColumns(
         {
             "household_vs_acorn": ratio(F.col(value), mean),
             "acorn_peak_ratio": ratio(F.col("__peak"), mean),
-            "acorn_relative_variability": ratio(sd, mean),
+            "acorn_relative_variability": ratio(F.col("__spread"), sd),
         }
-    ).drop("__g", "__peak")
+    ).drop("__g", "__peak", "__spread")
 
 
 def sort_panel(df: DataFrame) -> DataFrame:

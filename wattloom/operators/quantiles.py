@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..session import with_scalars
 
 MIN_BINS, MAX_BINS = 64, 1024
+HEAVY = 1000  # a value with this share of the rows is heavy
 
 
 def _bin_count(df: DataFrame) -> int:
@@ -83,21 +84,24 @@ def quantiles(
     approx: bool = False,
     accuracy: int = 10_000,
     bins: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """keys, n, q: array of linear-interpolation quantiles in the order of `probs`.
 
-    NULL values are left out. approx=True takes Spark's mergeable sketch in one shuffle.
+    NULL values are left out. approx=True takes Spark's mergeable sketch in one shuffle. `weight` is
+    a column of counts: a row stands for so many equal ones.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
-    if approx:
+    many = F.sum(weight) if weight else F.count(F.lit(1))
+    if approx and not weight:
         p = F.array(*[F.lit(float(x)) for x in probs])
         return (
             df.where(v.isNotNull())
             .groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(v, p, F.lit(accuracy)).alias("q"))
+            .agg(many.alias("n"), F.percentile_approx(v, p, F.lit(accuracy)).alias("q"))
         )
-    hist = df.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    hist = df.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(many.alias("__c"))
     binned = _binned(hist, "__c", F.col("__v"), [*keys, "__v"], bins or _bin_count(df))
 
     # <= `bins` rows per key from here to `hits`
@@ -176,10 +180,27 @@ def rank_values(
 
 
 def pct_rank_true(df: DataFrame, value: str, out: str = "pct_true_rank") -> DataFrame:
-    """Average-tie percentile rank x 100 of `value` over the whole table."""
+    """Average-tie percentile rank x 100 of `value` over the whole table; NULL has no rank.
+
+    A value that holds a thousandth of the rows or more is one of a thousand at most: those are
+    broadcast. Rows with the others are joined on the value, so no task gets more than a thousandth
+    of all rows for one value; rows that need no partner there, heavy or NULL, are spread by a salt
+    that finds none.
+    """
     r = rank_values(df.where(F.col(value).isNotNull()), [value])
     rank = (F.col("below") + (F.col("c") + 1) / 2) / F.col("n") * 100
-    return df.join(r.select(value, rank.alias(out)), value, "left")
+    heavy = F.col("c") * HEAVY >= F.col("n")
+    ranked = r.select(F.col(value).alias("__v"), rank.alias("__r"), heavy.alias("__heavy"))
+    many = ranked.where("__heavy").select(F.col("__v").alias("__hv"), F.col("__r").alias("__hr"))
+    few = ranked.where("not __heavy").select(F.struct(F.col("__v").alias("v"), F.lit(0).cast("bigint").alias("s")).alias("__key"), "__r")
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    out_of_join = F.col("__hr").isNotNull() | F.col(value).isNull()
+    rows = df.join(F.broadcast(many), F.col(value) == F.col("__hv"), "left")
+    salt = F.when(out_of_join, F.pmod(own, F.lit(1 << 20)) + 1).otherwise(0).cast("bigint")
+    # one key of two parts: apart, the constant part would leave the exchange
+    rows = rows.withColumn("__salted", F.struct(F.col(value).alias("v"), salt.alias("s")))
+    found = rows.join(few, F.col("__salted") == F.col("__key"), "left")
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce("__hr", "__r").alias(out))
 
 
 def five_number(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DAY, ID
-from ..session import broadcast_if_small, with_scalars
+from ..session import with_scalars
 
 
 def _labelled(df: DataFrame, val: Column, test: Column) -> DataFrame:
@@ -117,7 +117,7 @@ def select_scope(df: DataFrame, scope: str | Sequence[str] | DataFrame | None =
     if scope is None:
         return df
     if isinstance(scope, DataFrame):
-        return df.join(broadcast_if_small(scope.select(ID).distinct()), ID, "left_semi")
+        return df.join(scope.select(ID), ID, "left_semi")
     ids = [scope] if isinstance(scope, str) else list(scope)
     return df.where(F.col(ID).isin(ids))
 

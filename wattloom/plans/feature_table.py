@@ -40,35 +40,42 @@ def clean_and_merge(
     return cal.season_of_month(cal.month_of_day(df))
 
 
-def calendar_features(df: DataFrame, trend: bool = True) -> DataFrame:
+def day_counts(df: DataFrame) -> DataFrame:
+    """(day, windSpeed, n): how many rows a day has. Global statistics read this small table: it has
+    the length of the calendar and is combined map-side, in one pass over two columns."""
+    return df.groupBy(DAY, "windSpeed").agg(F.count(F.lit(1)).alias("n"))
+
+
+def calendar_features(df: DataFrame, trend: bool = True, days: DataFrame | None = None) -> DataFrame:
     df = cal.calendar_basic(df)
     if "season" not in df.columns:
         df = cal.season_of_month(df)
     df = cal.season_flags(cal.cyclical_encoding(df))
     if "holiday_category" in df.columns:
         df = cal.holiday_flags(df)
-    return cal.time_trend(df) if trend else df
+    return cal.time_trend(df, days=days) if trend else df
 
 
-def weather_features(df: DataFrame, approx: bool = False) -> DataFrame:
+def weather_features(df: DataFrame, approx: bool = False, days: DataFrame | None = None) -> DataFrame:
     df = wx.humidity_cloud_flags(wx.temp_extremes(wx.temp_features(df)))
-    df = wx.wind_quantile_flags(df, approx)
+    df = wx.wind_quantile_flags(df, approx, days=days)
     return wx.season_weather_need(wx.temp_sensitivity(df))
 
 
 def feature_table(df: DataFrame, approx: bool = False, peak_flags: bool = False) -> DataFrame:
     """All features; nothing is dropped. Works with a profile column or daily totals only.
 
-    Global statistics (first day, wind quartiles) are one-row aggregates; all household
+    Global statistics (first day, wind quartiles) come from one table of day counts; all household
     windows share one exchange.
     """
-    df = calendar_features(df)
+    days = None if approx else day_counts(df)
+    df = calendar_features(df, days=days)
     if PROFILE in df.columns:
         df = prof.consumption_features(df)
         if peak_flags:
             df = cal.peak_period_flags(df)
     # windows ordered by day come first: their sort also serves the unordered household window
-    df = weather_features(panel.panel_safe(df), approx)
+    df = weather_features(panel.panel_safe(df), approx, days)
     return panel.interactions_lag(df)
 
 

@@ -3,19 +3,23 @@ parameters and a handful of scores only."""
 
 from __future__ import annotations
 
+import logging
 import random
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import masked_corr
 from ..operators import evaluate as ev
 from ..operators.drivers import (
     contributions,
@@ -23,9 +27,14 @@ from ..operators.drivers import (
     group_importance,
     importance_rank,
 )
+from ..operators.encode import dropna_any
 from ..operators.panel import by_day
+from ..operators.quantiles import quantiles
+from ..operators.splits import hash_bucket, rolling_origin_folds
 from ..schema import DAY, ID, PROFILE, SLOTS
-from ..session import cut_lineage
+from ..session import cut_lineage, with_scalars
+
+log = logging.getLogger(__name__)
 
 # search space of the random draw
 SPACE = {
@@ -69,10 +78,40 @@ def _kmeans(vectors: DataFrame, key: str, k: int, seed: int) -> tuple[DataFrame,
 
 
 def _assembled(features: Sequence[str], regressor) -> Pipeline:
-    assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    """Rows with a NULL input pass through as NaN: fits drop them first, predicted() marks them."""
+    assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     return Pipeline(stages=[assemble, regressor])
 
 
+@dataclass
+class LinearScorer:
+    """A linear model with given coefficients, as one column expression."""
+
+    coefs: dict[str, float]
+    intercept: float = 0.0
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        total = F.lit(float(self.intercept))
+        for c, b in self.coefs.items():
+            total = total + F.lit(float(b)) * F.col(c)
+        return df.withColumn("prediction", total)
+
+
+def inputs_of(model) -> list[str]:
+    return list(model.coefs) if isinstance(model, LinearScorer) else list(model.stages[0].getInputCols())
+
+
+def predicted(model, df: DataFrame) -> DataFrame:
+    """`df` with `prediction`, NULL where an input is missing. No row is lost."""
+    out = model.transform(df)
+    if isinstance(model, LinearScorer):
+        return out
+    known = F.lit(True)
+    for c in inputs_of(model):
+        known = known & F.col(c).isNotNull()
+    return out.withColumn("prediction", F.when(known, F.col("prediction"))).drop("features")
+
+
 def fit_boosted_trees(
     df: DataFrame,
     features: Sequence[str],
@@ -84,73 +123,90 @@ def fit_boosted_trees(
 ) -> PipelineModel:
     """Boosting on train with the val rows for early stopping, then a refit on both with the
     number of trees that was kept."""
-    p = {**DEFAULTS, **(params or {})}
     used = df.select(*features, F.col(label).cast("double").alias("label"), "split")
-    used = used.where(F.col("split").isin("train", "val")).na.drop()
+    used = dropna_any(used.where(F.col("split").isin("train", "val")), [*features, "label"])
+    assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    trees = boost(assemble.transform(used), params, rounds, seed, early_stopping)
+    return PipelineModel(stages=[assemble, trees])
+
+
+def boost(rows: DataFrame, params: dict | None = None, rounds: int = 20, seed: int = 42, early_stopping: bool = True) -> GBTRegressionModel:
+    """fit_boosted_trees on rows that hold `features`, `label` and `split` (train, val)."""
+    p = {**DEFAULTS, **(params or {})}
     if early_stopping:
-        trial = GBTRegressor(
-            labelCol="label", seed=seed, maxIter=rounds, validationIndicatorCol="is_val", **p
-        )
-        marked = used.withColumn("is_val", F.col("split") == "val")
-        rounds = _assembled(features, trial).fit(marked).stages[-1].getNumTrees
-    return _assembled(features, GBTRegressor(labelCol="label", seed=seed, maxIter=rounds, **p)).fit(used)
+        trial = GBTRegressor(labelCol="label", seed=seed, maxIter=rounds, validationIndicatorCol="is_val", **p)
+        rounds = trial.fit(rows.withColumn("is_val", F.col("split") == "val")).getNumTrees
+    return GBTRegressor(labelCol="label", seed=seed, maxIter=rounds, **p).fit(rows)
 
 
 def tune_boosted_trees(
-    df: DataFrame, features: Sequence[str], label: str, n_trials: int = 5, rounds: int = 10, seed: int = 42
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    n_trials: int = 10,
+    rounds: int = 20,
+    folds: int = 2,
+    gap: int = 7,
+    seed: int = 42,
+    parallel: int = 4,
 ) -> tuple[dict, list[dict]]:
-    """Seeded random search: each trial is fitted on train and scored by RMSE on val.
+    """Seeded random search with successive halving: the best parameters and all trials.
 
-    Returns the best parameters (the defaults if no trial succeeds) and all trials.
+    `n_trials` draws start with a quarter of `rounds` on the last of `folds` time-ordered folds of
+    the train and val rows. The better half goes on with twice the rounds, and so on; the last
+    race has all rounds and all folds. A trial is fitted before a fold's test days, less
+    `gap` days, and scored by RMSE on them. Trials of a race run side by side, `parallel` at a time.
+    A trial that fails is logged and leaves the search; if all fail the first error is raised.
     """
     draw = random.Random(seed)
-    used = df.select(*features, F.col(label).cast("double").alias("label"), "split").na.drop()
-    used = used.persist()
-    train, val = used.where("split = 'train'"), used.where("split = 'val'")
-    trials = []
-    for _ in range(n_trials):
-        p = {k: draw.choice(v) for k, v in SPACE.items()}
+    used = df.where(F.col("split").isin("train", "val"))
+    used = dropna_any(used.select(ID, DAY, *features, F.col(label).cast("double").alias("label")), [*features, "label"])
+    used = cut_lineage(rolling_origin_folds(used, folds, gap).repartition("fold", ID).sortWithinPartitions("fold", ID, DAY))
+    trials = [{"trial": i, "params": {k: draw.choice(v) for k, v in SPACE.items()}, "rounds": 0, "rmse": None} for i in range(n_trials)]
+
+    def race(trial: dict, n: int, on: Sequence[int]) -> None:
         try:
-            model = _assembled(features, GBTRegressor(labelCol="label", seed=seed, maxIter=rounds, **p)).fit(train)
-        except Exception as e:  # a failed trial must not stop the search
-            trials.append({"params": p, "rmse": None, "error": str(e)[:200]})
-            continue
-        scored = model.transform(val).select(F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
-        trials.append({"params": p, "rmse": scored.agg(ev.rmse()).first()[0]})
-    used.unpersist()
-    good = [t for t in trials if t["rmse"] is not None]
-    best = min(good, key=lambda t: t["rmse"])["params"] if good else dict(DEFAULTS)
-    return best, trials
+            errors = []
+            for fold in on:
+                part = used.where(F.col("fold") == fold)
+                tree = GBTRegressor(labelCol="label", seed=seed, maxIter=n, **trial["params"])
+                model = _assembled(features, tree).fit(part.where("role = 'train'"))
+                scored = model.transform(part.where("role = 'test'"))
+                scored = scored.select(F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
+                errors.append(scored.agg(ev.rmse()).first()[0])
+            trial.update(rounds=n, rmse=sum(errors) / len(errors))
+        except Exception as e:  # one failed trial must not stop the search
+            log.warning("trial %s failed: %s", trial["params"], e)
+            trial.update(rounds=n, rmse=None, error=e)
+
+    steps = max(1, rounds // 4), max(1, rounds // 2), rounds
+    running = trials
+    with ThreadPoolExecutor(parallel) as pool:
+        for i, n in enumerate(steps):
+            on = range(1, folds + 1) if n == rounds else [folds]
+            list(pool.map(lambda t: race(t, n, on), running))  # noqa: B023
+            good = sorted((t for t in running if t["rmse"] is not None), key=lambda t: (t["rmse"], t["trial"]))
+            if not good:
+                raise RuntimeError("every trial failed") from running[0]["error"]
+            running = good if i == len(steps) - 1 else good[: max(1, len(good) // 2)]
+    return running[0]["params"], trials
+
+
+def fit_tuned(df: DataFrame, features: Sequence[str], label: str, rounds: int = 20, seed: int = 42, **search) -> tuple[PipelineModel, dict]:
+    """The best parameters of the search refitted on train and val: (model, parameters)."""
+    best, _ = tune_boosted_trees(df, features, label, rounds=rounds, seed=seed, **search)
+    return fit_boosted_trees(df, features, label, best, rounds, seed), best
 
 
 def score_splits(
     model: PipelineModel, df: DataFrame, label: str, keys: Sequence[str] = (ID, DAY, "split")
 ) -> DataFrame:
-    """Actual and predicted beside the keys. Keys stay on the row, nothing is aligned by place."""
-    out = model.transform(df.where(F.col(label).isNotNull()))
+    """Actual and predicted beside the keys, one row for each row of `df`. A row with a missing
+    input has a NULL y_pred, one without label a NULL y_true; the metrics leave both out."""
+    out = predicted(model, df)
     return out.select(*keys, F.col(label).cast("double").alias("y_true"), F.col("prediction").alias("y_pred"))
 
 
-def train_per_cluster(
-    df: DataFrame,
-    features: Sequence[str],
-    label: str,
-    clusters: Sequence,
-    cluster: str = "cluster",
-    params: dict | None = None,
-    rounds: int = 10,
-) -> DataFrame:
-    """Predictions of one model per cluster and of one global model on all rows."""
-    keys = [ID, DAY, "split", cluster]
-    whole = fit_boosted_trees(df, features, label, params, rounds)
-    out = score_splits(whole, df, label, keys).withColumn("model", F.lit("global"))
-    for c in clusters:
-        part = df.where(F.col(cluster) == c)
-        own = fit_boosted_trees(part, features, label, params, rounds)
-        out = out.unionByName(score_splits(own, part, label, keys).withColumn("model", F.lit(f"cluster_{c}")))
-    return out
-
-
 def feature_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], top_n: int = 15) -> DataFrame:
     """Gain ranking with feature names: one small row per input column."""
     gains = model.stages[-1].featureImportances.toArray().tolist()
@@ -163,16 +219,22 @@ def feature_importance(model: PipelineModel, df: DataFrame, features: Sequence[s
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], label: str, reg: float = 0.0) -> tuple[PipelineModel, dict, float]:
-    used = df.select(*features, F.col(label).cast("double").alias("label")).na.drop()
+    used = dropna_any(df.select(*features, F.col(label).cast("double").alias("label")), [*features, "label"])
     model = _assembled(features, LinearRegression(labelCol="label", regParam=reg)).fit(used)
     lin = model.stages[-1]
     return model, dict(zip(features, lin.coefficients.toArray().tolist())), float(lin.intercept)
 
 
-def driver_report(df: DataFrame, features: Sequence[str], target: str, groups: dict) -> DataFrame:
-    """One row: quality of a linear driver model, its top driver and its top group."""
-    known = df.na.drop(subset=[*features, target])
-    model, coefs, intercept = fit_linear(known.where("split = 'train'"), features, target)
+def driver_report(
+    df: DataFrame, features: Sequence[str], target: str, groups: dict, scorer: LinearScorer | None = None
+) -> DataFrame:
+    """One row: quality of a linear driver model (fitted here, or given), its top driver and its top
+    group."""
+    known = dropna_any(df, [*features, target])
+    if scorer is None:
+        model, coefs, intercept = fit_linear(known.where("split = 'train'"), features, target)
+    else:
+        model, coefs, intercept = scorer, scorer.coefs, scorer.intercept
     scored = score_splits(model, known, target)
     test = ev.model_quality_label(ev.driver_performance(scored).where("split = 'test'"))
     contrib = contributions(known.where("split = 'test'"), coefs, intercept)
@@ -190,120 +252,157 @@ def driver_report(df: DataFrame, features: Sequence[str], target: str, groups: d
 
 
 def partial_dependence(
-    model: PipelineModel, df: DataFrame, feature: str, grid: int = 10, low: float = 0.05, high: float = 0.95
+    model, df: DataFrame, features: str | Sequence[str], grid: int = 10, low: float = 0.05, high: float = 0.95
 ) -> DataFrame:
-    """Average prediction when one feature is set to each grid value.
+    """(feature, grid_index, grid_value, mean_prediction): the average prediction when one feature is
+    set to each of `grid` values between two of its quantiles, for several features in one pass.
 
-    Each row is expanded to `grid` rows by an array, then averaged per grid value with
-    map-side combination.
+    The quantiles of all features come from one long table. Each row is then expanded to one row
+    per feature and grid value, which are averaged with map-side combination.
     """
-    from ..operators.quantiles import quantiles
-    from ..session import with_scalars
-
-    q = quantiles(df, feature, [low, high]).select(F.col("q").alias("__q"))
-    step = (F.col("__q")[1] - F.col("__q")[0]) / (grid - 1)
-    points = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.col("__q")[0] + i * step)
-    rows = with_scalars(df, q.select(points.alias("__g"))).select(
-        *[c for c in df.columns if c != feature], F.posexplode("__g").alias("grid_index", feature)
+    names = [features] if isinstance(features, str) else list(features)
+    inputs = inputs_of(model)
+    values = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in names]
+    q = quantiles(df.select(F.inline(F.array(*values))), "v", [low, high], ["feature"])
+    step = (F.col("q")[1] - F.col("q")[0]) / (grid - 1)
+    points = F.transform(
+        F.sequence(F.lit(0), F.lit(grid - 1)),
+        lambda i: F.struct("feature", i.alias("grid_index"), (F.col("q")[0] + i * step).alias("grid_value")),
     )
+    # one row with features x grid points
+    table = q.select(points.alias("p")).agg(F.flatten(F.collect_list("p")).alias("__points"))
+    rows = with_scalars(df.select(*inputs), table).select(*inputs, F.explode("__points").alias("__at"))
+    at = F.col("__at")
+    rows = rows.withColumns({f: F.when(at["feature"] == f, at["grid_value"]).otherwise(F.col(f)) for f in names})
     return (
-        model.transform(rows)
-        .groupBy("grid_index")
-        .agg(F.first(feature).alias("grid_value"), F.avg("prediction").alias("mean_prediction"))
-        .withColumn("feature", F.lit(feature))
+        predicted(model, rows)
+        .groupBy(at["feature"].alias("feature"), at["grid_index"].alias("grid_index"))
+        .agg(F.first(at["grid_value"]).alias("grid_value"), F.avg("prediction").alias("mean_prediction"))
     )
 
 
+def shuffled_neighbour(df: DataFrame, cols: Sequence[str], seed: int = 42, bins: int | None = None) -> DataFrame:
+    """Each row with `__donor`, the struct of `cols` of another row.
+
+    Rows are dealt to bins by a hash of their key and stand in hash order there; the donor is the
+    next row of the bin, the bin's last row takes its first. That is a permutation of all rows in
+    which none keeps its own values (but in a bin of one row), made with one exchange.
+    """
+    bins = bins or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (ID, DAY)])
+    df = df.withColumns({"__hash": F.md5(text), "__bin": hash_bucket([ID, DAY], seed, bins)})
+    w = Window.partitionBy("__bin").orderBy("__hash", ID, DAY)
+    own = F.struct(*cols)
+    start = F.first(own).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("__donor", F.coalesce(F.lead(own).over(w), start)).drop("__hash", "__bin")
+
+
 def permutation_importance(
-    model: PipelineModel,
+    model,
     df: DataFrame,
     features: Sequence[str],
     label: str,
     shuffle: Sequence[str] | None = None,
     seed: int = 42,
+    bins: int | None = None,
 ) -> DataFrame:
-    """Rise of RMSE when one input column (each of `shuffle`) is shuffled among the rows.
+    """(feature, rmse, rmse_rise): the rise of RMSE when one input column (each of `shuffle`, all
+    inputs by default) is exchanged among the rows.
 
-    Rows get a place in two hash orders through bin counts; joining the places exchanges the
-    values between rows without a single-task sort.
+    One mapping of donors serves all features: a donor's inputs stand beside the row, and each row is
+    expanded to itself and one row per feature. So the number of exchanges does not depend on the
+    number of features. Rows with a missing input or label are left out.
     """
-    from ..operators.quantiles import rank_values
-
-    base = cut_lineage(df.select(ID, DAY, *features, label).na.drop())
-    key = [ID, DAY]
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key])
-    hashed = base.select(*key, F.md5(text).alias("h"))
-    places = rank_values(hashed, ["h", *key]).select(*key, F.col("code").alias("to"))
-    order = rank_values(hashed.select(*key), key).select(*key, F.col("code").alias("from"))
-    plain = score_splits(model, base, label, key).agg(ev.rmse().alias("base_rmse"))
-    out = None
-    for f in shuffle or features:
-        donor = base.select(*key, F.col(f).alias("__v")).join(order, key).select("from", "__v")
-        mixed = base.drop(f).join(places, key).join(donor, F.col("to") == F.col("from")).withColumnRenamed("__v", f)
-        one = score_splits(model, mixed, label, key).agg(ev.rmse().alias("rmse")).withColumn("feature", F.lit(f))
-        out = one if out is None else out.unionByName(one)
-    return out.crossJoin(F.broadcast(plain)).select("feature", "rmse", (F.col("rmse") - F.col("base_rmse")).alias("rmse_rise"))
+    names = list(shuffle or features)
+    base = dropna_any(df.select(ID, DAY, *features, F.col(label).cast("double").alias("__y")), [*features, "__y"])
+    rows = shuffled_neighbour(base, names, seed, bins)
+    rows = rows.select("*", F.explode(F.array(F.lit(""), *[F.lit(f) for f in names])).alias("__swap"))
+    rows = rows.withColumns({f: F.when(F.col("__swap") == f, F.col("__donor")[f]).otherwise(F.col(f)) for f in names})
+    error = F.col("prediction") - F.col("__y")
+    scored = predicted(model, rows).groupBy("__swap").agg(F.sqrt(F.avg(error * error)).alias("rmse"))
+    # one row per feature: put together in one row and taken apart again
+    plain = F.max(F.when(F.col("__swap") == "", F.col("rmse"))).alias("base")
+    whole = scored.agg(plain, F.collect_list(F.struct(F.col("__swap").alias("feature"), "rmse")).alias("all"))
+    out = whole.select("base", F.inline("all")).where("feature <> ''")
+    return out.select("feature", "rmse", (F.col("rmse") - F.col("base")).alias("rmse_rise"))
+
+
+def recent_values(history: DataFrame, n: int, target: str) -> DataFrame:
+    """(household, last day, recent): each household's last `n` values, oldest first, NULLs in place
+    and in front of a shorter history. Tasks keep n rows per household before the exchange."""
+    newest = Window.partitionBy(ID).orderBy(F.desc(DAY))
+    last = history.select(ID, DAY, F.col(target).cast("double").alias("v"), F.row_number().over(newest).alias("r")).where(F.col("r") <= n)
+    rows = last.groupBy(ID).agg(F.max(DAY).alias(DAY), F.sort_array(F.collect_list(F.struct(DAY, "v"))).alias("s"))
+    values = F.transform("s", lambda x: x["v"])
+    blank = F.array_repeat(F.lit(None).cast("double"), F.lit(n) - F.size("s"))
+    return rows.select(ID, DAY, F.concat(blank, values).alias("recent"))
 
 
-def recursive_forecast(model: PipelineModel, history: DataFrame, horizon: int, target: str = "total_kwh") -> DataFrame:
-    """Feed day-ahead predictions back as readings for `horizon` steps.
+def recursive_forecast(model, history: DataFrame, horizon: int, target: str = "total_kwh") -> DataFrame:
+    """(household, day, step, y_pred): day-ahead predictions fed back as readings for `horizon` steps.
 
-    The model's inputs are lag1/lag7/lag14 and the 7/14-row means of the target, refreshed
-    each step from the household's last 14 values, which are kept as one array per row. The
+    The model's inputs are lag1/lag7/lag14 and the 7/14-row means of the target (over the known
+    values), refreshed each step from a ring of the household's last 14 values. Every household
+    comes back at every step; y_pred is NULL where the model needs a lag that is not known. The
     lineage is cut each step so the plan does not grow with the horizon.
     """
-    w = by_day().rowsBetween(-13, 0)
-    newest = Window.partitionBy(ID).orderBy(F.desc(DAY))
-    state = (
-        history.select(ID, DAY, F.collect_list(F.col(target)).over(w).alias("recent"), F.row_number().over(newest).alias("r"))
-        .where("r = 1")
-        .where(F.size("recent") == 14)
-        .select(ID, DAY, "recent")
-    )
+    state = recent_values(history, 14, target)
+    known = inputs_of(model)
     out = None
     for step in range(1, horizon + 1):
         tail = F.col("recent")
 
-        def mean(n: int):
-            return F.aggregate(F.slice(tail, 15 - n, n), F.lit(0.0), lambda a, x: a + x) / n
-
-        inputs = state.withColumns(
-            {
-                "lag1_total": F.get(tail, F.lit(13)),
-                "lag7_total": F.get(tail, F.lit(7)),
-                "lag14_total": F.get(tail, F.lit(0)),
-                "roll7_total_mean": mean(7),
-                "roll14_total_mean": mean(14),
-            }
-        )
-        scored = model.transform(inputs).select(
+        def mean(n: int) -> Column:
+            values = F.filter(F.slice(tail, 15 - n, n), lambda x: x.isNotNull())
+            return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+        fresh = {
+            "lag1_total": F.get(tail, F.lit(13)),
+            "lag7_total": F.get(tail, F.lit(7)),
+            "lag14_total": F.get(tail, F.lit(0)),
+            "roll7_total_mean": mean(7),
+            "roll14_total_mean": mean(14),
+        }
+        inputs = state.withColumns({c: v for c, v in fresh.items() if c in known})
+        scored = predicted(model, inputs).select(
             ID,
             F.date_add(DAY, 1).alias(DAY),
             F.concat(F.slice("recent", 2, 13), F.array("prediction")).alias("recent"),
-            "prediction",
+            F.col("prediction").alias("y_pred"),
         )
         scored = cut_lineage(scored)
-        one = scored.select(ID, DAY, F.lit(step).alias("step"), F.col("prediction").alias("y_pred"))
+        one = scored.select(ID, DAY, F.lit(step).alias("step"), "y_pred")
         out = one if out is None else out.unionByName(one)
         state = scored.select(ID, DAY, "recent")
     return out
 
 
+def pair_correlations(df: DataFrame, features: Sequence[str], at_once: int = 300) -> DataFrame:
+    """(a, b, rows, r) of each pair of columns, in the order of `features`: Pearson's r over the rows
+    that know both. All pairs are moments of one aggregate, combined map-side; more than `at_once`
+    pairs take a further scan for each so many. r is NULL where a column does not vary."""
+    out = None
+    pairs = list(combinations(features, 2))
+    for i in range(0, len(pairs), at_once):
+        aggs, rows = [], []
+        for k, (a, b) in enumerate(pairs[i : i + at_once]):
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            aggs += [F.count_if(both).alias(f"n{k}"), masked_corr(a, b).alias(f"r{k}")]
+            rows.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{k}").alias("rows"), F.col(f"r{k}").alias("r")))
+        part = df.agg(*aggs).select(F.inline(F.array(*rows)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def prune_correlated(df: DataFrame, features: Sequence[str], bound: float = 0.95) -> tuple[list[str], DataFrame]:
-    """Columns kept after dropping the later one of each pair with |r| above `bound`, and the
-    pairs. The matrix has one row per column; the data is read once, distributed."""
-    used = df.select(*features).na.drop()
-    vec = VectorAssembler(inputCols=list(features), outputCol="v").transform(used)
-    spread = vec.select(Summarizer.variance(F.col("v"))).first()[0].toArray()
-    live = [f for f, s in zip(features, spread) if s > 0]
-    vec = VectorAssembler(inputCols=live, outputCol="v2").transform(used)
-    m = Correlation.corr(vec, "v2").first()[0].toArray()
+    """Columns kept after dropping the later one of each pair with |r| above `bound`, and those pairs
+    (kept, dropped, r). A NULL in one column does not take the row from the other pairs."""
+    r = {(x["a"], x["b"]): x["r"] for x in pair_correlations(df, features).collect()}
     dropped, pairs = set(), []
-    for i, a in enumerate(live):
-        for j in range(i + 1, len(live)):
-            if a not in dropped and abs(m[i][j]) > bound:
-                dropped.add(live[j])
-                pairs.append((a, live[j], float(m[i][j])))
+    for a, b in combinations(features, 2):
+        if a not in dropped and r[a, b] is not None and abs(r[a, b]) > bound:
+            dropped.add(b)
+            pairs.append((a, b, float(r[a, b])))
     schema = "kept string, dropped string, r double"
     return [f for f in features if f not in dropped], df.sparkSession.createDataFrame(pairs, schema)
 

@@ -1,4 +1,4 @@
-"""Session settings, lineage cuts and size-checked broadcasts."""
+"""Session settings and lineage cuts."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
-
 
 def build_session(master: str | None = None, app: str = "wattloom", **conf: str) -> SparkSession:
     """A session with the settings the operators assume; `conf` keys use '__' for '.'."""
@@ -62,16 +60,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that `df` has at most `max_rows` rows.
-
-    The count stops at max_rows + 1, so checking a table of any size stays cheap. A bigger
-    table gets no hint: Catalyst then joins by shuffle and AQE splits skewed keys.
-    """
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
-
-
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame (a global aggregate) to every row."""
     return df.crossJoin(F.broadcast(one_row))

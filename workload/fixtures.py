@@ -11,7 +11,6 @@ from wattloom.functions import weather as wx
 from wattloom.operators import clean, drivers, panel, splits
 from wattloom.plans.feature_table import clean_weather
 from wattloom.schema import DAY, ID
-from wattloom.session import broadcast_if_small
 
 # fixed coefficients of the linear driver model used by the contribution queries
 COEFS = {"lag1_total": 0.3, "lag7_total": 0.2, "roll7_total_mean": 0.25, "is_weekend": -1.5, "month": 0.1}
@@ -139,11 +138,19 @@ class Fixtures:
         n = F.broadcast(self.table("nation"))
         s = self.table("supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
         return (
-            part.join(broadcast_if_small(s), part.l_suppkey == s.s_suppkey)
+            part.join(s, part.l_suppkey == s.s_suppkey)
             .groupBy(mac(F.col("n_regionkey")).alias(ID), DAY, "slot")
             .agg(F.sum("v").alias("v"))
         )
 
+    def supplier_profiles(self) -> DataFrame:
+        """Profiles per supplier and year: as many households as there are suppliers, so this grows
+        with the tables."""
+        slot = ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 48).cast("int")
+        year = F.trunc("l_shipdate", "YEAR").alias(DAY)
+        li = self.table("lineitem").groupBy(mac(F.col("l_suppkey")).alias(ID), year, slot.alias("slot"))
+        return clean.pack_slots(li.agg(F.sum("l_quantity").alias("v")), [ID, DAY])
+
     def profiles_raw(self) -> DataFrame:
         return clean.pack_slots(self.slots(), [ID, DAY])
 
@@ -151,9 +158,10 @@ class Fixtures:
         return clean.interpolate_profile(clean.drop_sparse_days(self.profiles_raw()))
 
     def profile_features(self) -> DataFrame:
-        """Profiles with their totals, calendar, dimensions and a cluster label."""
+        """Profiles with their totals, calendar, dimensions and a cluster label: the third of the day
+        that holds the peak, so every size of the tables has three clusters."""
         df = cal.calendar_basic(self.with_dims(self.profiles()))
-        return prof.consumption_features(df).withColumn("cluster", three_way(F.col("total_kwh"), 1500, 1800))
+        return prof.consumption_features(df).withColumn("cluster", three_way(F.col("peak_hour"), 16, 32))
 
     def predictions(self) -> DataFrame:
         """Lag-1 and lag-7 baselines beside the actual, both models."""

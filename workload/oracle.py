@@ -104,7 +104,7 @@ CTES = {
     "pcal": f"""SELECT s.*, (isodow(s.day) - 1)::int AS dayofweek, (isodow(s.day) >= 6)::int AS is_weekend,
         (isodow(s.day) < 6)::int AS is_weekday, month(s.day)::int AS month, {_SEASON.format(m='month(s.day)')} AS season,
         h."Acorn_grouped", h."stdorToU", w."temperatureMax", w.humidity,
-        CASE WHEN s.total_kwh < 1500 THEN 0 WHEN s.total_kwh < 1800 THEN 1 ELSE 2 END AS cluster
+        CASE WHEN s.peak_hour < 16 THEN 0 WHEN s.peak_hour < 32 THEN 1 ELSE 2 END AS cluster
         FROM pstat s LEFT JOIN household h ON s."LCLid" = h."LCLid" LEFT JOIN wx w ON s.day = w.day""",
     "clusters": """SELECT *, CASE WHEN total_kwh < 20 THEN 0 WHEN total_kwh < 35 THEN 1 ELSE 2 END AS cluster FROM meter""",
     "fclusters": """SELECT *, CASE WHEN total_kwh < 20 THEN 0 WHEN total_kwh < 35 THEN 1 ELSE 2 END AS cluster FROM feat""",
@@ -129,6 +129,43 @@ CTES = {
     "cin": """SELECT "LCLid", day, lag1_total, lag7_total, roll7_total_mean, is_weekend, month,
         CASE WHEN total_kwh < 20 THEN 0 WHEN total_kwh < 35 THEN 1 ELSE 2 END AS cluster FROM lagged WHERE lag7_total IS NOT NULL""",
 }
+CTES["ftab"] = """SELECT l.* EXCLUDE (lag2_total), sin(2 * pi() * month / 12) AS month_sin, cos(2 * pi() * month / 12) AS month_cos,
+        sin(2 * pi() * dayofweek / 7) AS dayofweek_sin, cos(2 * pi() * dayofweek / 7) AS dayofweek_cos,
+        (holiday_category = 'Christmas')::int AS is_christmas, (holiday_category = 'New Year')::int AS is_new_year,
+        (holiday_category = 'Bank Holiday')::int AS is_bank_holiday, is_holiday * is_weekday AS holiday_weekday, is_holiday * is_weekend AS holiday_weekend,
+        (day - min(day) OVER ())::int AS days_since_start, quarter(day)::int AS quarter, (quarter(day) = 1)::int AS is_q1, (quarter(day) = 4)::int AS is_q4,
+        coalesce(lag1_total - lag2_total, 0) AS delta1_total,
+        CASE WHEN abs(lag2_total) > 0 THEN (lag1_total - lag2_total) / (lag2_total + 1e-6) ELSE 0e0 END AS pct_change1_total,
+        coalesce(temp_avg < 5, false)::int AS is_very_cold, coalesce(temp_avg > 25, false)::int AS is_very_hot,
+        coalesce(humidity > 0.8e0, false)::int AS is_high_humidity, coalesce(humidity < 0.3e0, false)::int AS is_low_humidity,
+        coalesce("cloudCover" > 0.7e0, false)::int AS is_cloudy, coalesce("cloudCover" < 0.3e0, false)::int AS is_clear,
+        coalesce("windSpeed" > q[2], false)::int AS is_windy, coalesce("windSpeed" < q[1], false)::int AS wind_calm, r AS temp_sensitivity,
+        CASE WHEN season = 'Winter' THEN 1 ELSE 0 END * heating_degree_days AS winter_heating_need,
+        CASE WHEN season = 'Summer' THEN 1 ELSE 0 END * cooling_degree_days AS summer_cooling_need,
+        coalesce(is_weekend * heating_degree_days * (lag1_total / (lag1_total + 1e-6)), 0) AS lag1_weekend_heating,
+        coalesce(is_holiday * lag1_total, 0) AS lag1_holiday_consumption,
+        coalesce(is_summer * cooling_degree_days * (lag1_total / (lag1_total + 1e-6)), 0) AS lag1_summer_cooling
+        FROM lagged l LEFT JOIN (SELECT "LCLid" AS k, covar_pop(total_kwh, temp_avg) / nullif(stddev_pop(total_kwh) * stddev_pop(temp_avg), 0) AS r
+          FROM feat WHERE temp_avg IS NOT NULL GROUP BY 1) s ON s.k = l."LCLid", (SELECT quantile_cont("windSpeed", [0.25, 0.75]) AS q FROM merged) w"""
+# the columns of the feature table: text and whole numbers, then doubles
+FTAB_EXACT = (
+    '"Acorn" "Acorn_grouped" "stdorToU" holiday_type holiday_category season month dayofweek day_of_year is_weekend is_weekday is_monday is_friday '
+    "is_winter is_summer is_shoulder_season is_holiday is_christmas is_new_year is_bank_holiday holiday_weekday holiday_weekend days_since_start quarter "
+    "is_q1 is_q4 is_very_cold is_very_hot is_high_humidity is_low_humidity is_cloudy is_clear is_windy wind_calm"
+).split()
+FTAB_DOUBLE = (
+    'total_kwh "temperatureMax" "temperatureMin" humidity "windSpeed" "cloudCover" month_sin month_cos dayofweek_sin dayofweek_cos temp_range temp_avg '
+    "heating_degree_days cooling_degree_days lag1_total lag7_total lag14_total roll7_total_mean roll14_total_mean delta1_total pct_change1_total "
+    "temp_sensitivity winter_heating_need summer_cooling_need lag1_weekend_heating lag1_holiday_consumption lag1_summer_cooling"
+).split()
+
+
+def ftab_columns(leave_out: tuple[str, ...] = ()) -> str:
+    """The select list of the feature table."""
+    exact = [c for c in FTAB_EXACT if c.strip('"') not in leave_out]
+    return ", ".join([*exact, *[f"{{{{{c}}}}} AS {c}" for c in FTAB_DOUBLE if c.strip('"') not in leave_out]])
+
+
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 
@@ -155,4 +192,6 @@ def with_ctes(sql: str, digits: int = 6) -> str:
         return body
     joiner = ",\n" if body.lstrip().startswith("WITH ") else "\n"
     rest = body.lstrip()[5:] if joiner == ",\n" else body
+    if rest.startswith("RECURSIVE "):
+        head, rest = f"RECURSIVE {head}", rest[10:]
     return f"WITH {head}{joiner}{rest}"

@@ -14,8 +14,8 @@ from .q_analytics import _FIVE
 
 @query("kmeans_load_shapes")
 def _(fx):
-    labels, _score = training.kmeans_load_shapes(fx.profiles(), k=3)
-    return labels
+    labels, score = training.kmeans_load_shapes(fx.supplier_profiles(), k=3)
+    return labels.withColumn("silhouette", F.lit(float(score)))
 
 
 @query("kmeans_vectors")

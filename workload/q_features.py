@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from wattloom.functions import calendar as cal
 from wattloom.functions import profile as prof
 from wattloom.functions import weather as wx
@@ -11,6 +10,7 @@ from wattloom.plans import feature_table as ft
 from wattloom.schema import DAY, EXPECTED_COLUMNS, HH_COLS, ID, PROFILE
 
 from .base import query
+from .oracle import ftab_columns
 
 # --- calendar --------------------------------------------------------------------------
 
@@ -316,20 +316,6 @@ def _(fx):
     )
 
 
-@query(
-    "feature_table",
-    """SELECT "LCLid", day, {{total_kwh}} AS total_kwh, dayofweek, is_weekend, is_holiday, is_winter, (day - min(day) OVER ())::int AS days_since_start,
-    {{heating_degree_days}} AS heating_degree_days, coalesce(temp_avg < 5, false)::int AS is_very_cold, {{lag1_total}} AS lag1_total, {{lag7_total}} AS lag7_total,
-    {{lag14_total}} AS lag14_total, {{roll7_total_mean}} AS roll7_total_mean, {{roll14_total_mean}} AS roll14_total_mean,
-    {{coalesce(lag1_total - lag2_total, 0)}} AS delta1_total,
-    {{coalesce(is_weekend * heating_degree_days * (lag1_total / (lag1_total + 1e-6)), 0)}} AS lag1_weekend_heating,
-    {{coalesce(is_holiday * lag1_total, 0)}} AS lag1_holiday_consumption FROM lagged""",
-)
+@query("feature_table", f'SELECT "LCLid", day, {ftab_columns()} FROM ftab')
 def _(fx):
-    return ft.feature_table(fx.merged()).select(
-        ID, DAY, "total_kwh", "dayofweek", "is_weekend", "is_holiday", "is_winter", "days_since_start",
-        "heating_degree_days", "is_very_cold", "lag1_total", "lag7_total", "lag14_total", "roll7_total_mean",
-        "roll14_total_mean", "delta1_total", "lag1_weekend_heating", "lag1_holiday_consumption",
-    )
-
-
+    return ft.feature_table(fx.merged())

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from wattloom.functions import calendar as cal
 from wattloom.operators import columns, drivers, panel, splits
 from wattloom.operators import evaluate as ev
-from wattloom.plans import training
+from wattloom.plans import feature_table as plans
+from wattloom.plans import forecasting, training
 from wattloom.schema import DAY, ID
 
 from .base import query
@@ -39,78 +40,157 @@ def _(fx):
     return training.seasonal_decompose(daily, "kwh", "city")
 
 
-# --- training (no SQL twin) --------------------------------------------------------------
+# --- training ------------------------------------------------------------------------------
 
 
 def _train_frame(fx, label="label_1"):
     df = cal.calendar_basic(panel.panel_safe(fx.meter()))
-    df = panel.label_day_ahead(df).na.drop(subset=LAGS)
+    df = panel.label_day_ahead(df)
     df = df.withColumn("cluster", three_way(F.col("total_kwh"), 20, 35))
-    return splits.split_by_date(df).persist()
+    return splits.split_by_date(df)
 
 
 FEATS = [*LAGS, "dayofweek", "month"]
+# fixed coefficients of the linear scorer used by the study queries
+STUDY = training.LinearScorer(
+    {"lag1_total": 0.3, "lag7_total": 0.2, "lag14_total": 0.1, "roll7_total_mean": 0.15, "roll14_total_mean": 0.05, "dayofweek": -0.5, "month": 0.25}, 4.0
+)
+RECURSIVE = training.LinearScorer({"lag1_total": 0.4, "lag7_total": 0.2, "lag14_total": 0.1, "roll7_total_mean": 0.15, "roll14_total_mean": 0.1}, 1.0)
+
+
+def _linear(scorer, name="{}") -> str:
+    return " + ".join([f"{scorer.intercept}e0", *[f"{b}e0 * {name.format(c)}" for c, b in scorer.coefs.items()]])
+
+
+_FRAME = """SELECT l."LCLid", l.day, l.lag1_total, l.lag7_total, l.lag14_total, l.roll7_total_mean, l.roll14_total_mean, l.dayofweek, l.month, l.total_kwh,
+    lead(l.total_kwh) OVER (PARTITION BY l."LCLid" ORDER BY l.day) AS label_1 FROM lagged l"""
+_LABELLED = f"SELECT * FROM ({_FRAME}) WHERE label_1 IS NOT NULL"
+_WHOLE = f"SELECT * FROM ({_LABELLED}) WHERE lag14_total IS NOT NULL"
 
 
 @query("train_boosted_trees")
 def _(fx):
-    df = _train_frame(fx)
-    model = training.fit_boosted_trees(df, FEATS, "label_1", {"maxDepth": 3}, rounds=5)
-    return ev.metrics_by_split(training.score_splits(model, df, "label_1"))
+    df = _train_frame(fx).persist()
+    model = training.fit_boosted_trees(df, FEATS, "label_1", {"maxDepth": 4}, rounds=20)
+    out = training.score_splits(model, df, "label_1")
+    return ev.metrics_by_split(out)
 
 
 @query("tune_boosted_trees")
 def _(fx):
-    _, trials = training.tune_boosted_trees(_train_frame(fx), FEATS, "label_1", n_trials=2, rounds=2)
-    rows = [(i, str(t["params"]), float(t["rmse"])) for i, t in enumerate(trials)]
-    return fx.spark.createDataFrame(rows, "trial int, params string, rmse double")
+    best, trials = training.tune_boosted_trees(_train_frame(fx), FEATS, "label_1")
+    rows = [(t["trial"], str(t["params"]), t["rounds"], float(t["rmse"]) if t["rmse"] is not None else None, t["params"] is best) for t in trials]
+    return fx.spark.createDataFrame(rows, "trial int, params string, rounds int, rmse double, best boolean")
+
+
+def _job(fx, prepare):
+    prepared = prepare(plans.feature_table(fx.merged()))
+    _, scored = forecasting.forecast(prepared, params={"maxDepth": 4})
+    return scored
+
+
+@query("forecast_day_ahead")
+def _(fx):
+    return _job(fx, plans.prepare_day_ahead)
+
+
+@query("forecast_week_ahead")
+def _(fx):
+    return _job(fx, plans.prepare_week_ahead)
 
 
 @query("train_per_cluster")
 def _(fx):
-    df = _train_frame(fx)
-    pred = training.train_per_cluster(df, FEATS, "label_1", [0, 1, 2], params={"maxDepth": 3}, rounds=3)
+    pred = forecasting.per_cluster(_train_frame(fx), FEATS, "label_1", [0, 1, 2], params={"maxDepth": 3}, rounds=10)
     return ev.compare_models(pred, ["model", "cluster", "split"])
 
 
-@query("score_splits")
+@query(
+    "score_splits",
+    f"""SELECT "LCLid", day, split, {{{{label_1}}}} AS y_true, {{{{{_linear(STUDY)}}}}} AS y_pred FROM (
+      SELECT *, CASE WHEN day > max(day) OVER () - 90 THEN 'test' WHEN day > max(day) OVER () - 120 THEN 'val' ELSE 'train' END AS split FROM ({_LABELLED}))""",
+)
 def _(fx):
-    df = _train_frame(fx)
-    model = training.fit_boosted_trees(df, FEATS, "label_1", {"maxDepth": 3}, rounds=3, early_stopping=False)
-    return training.score_splits(model, df, "label_1")
+    return training.score_splits(STUDY, _train_frame(fx), "label_1")
 
 
 @query("feature_importance")
 def _(fx):
-    df = _train_frame(fx)
-    model = training.fit_boosted_trees(df, FEATS, "label_1", {"maxDepth": 3}, rounds=3, early_stopping=False)
+    df = _train_frame(fx).persist()
+    model = training.fit_boosted_trees(df, FEATS, "label_1", {"maxDepth": 3}, rounds=10, early_stopping=False)
     return training.feature_importance(model, df, FEATS)
 
 
-@query("partial_dependence")
+PDP = ["lag1_total", "lag7_total", "lag14_total", "roll7_total_mean", "roll14_total_mean", "month"]
+
+
+@query(
+    "partial_dependence",
+    f"""WITH t AS ({_WHOLE}), q AS (SELECT feature, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM t CROSS JOIN LATERAL (
+      VALUES {", ".join(f"('{c}', t.{c}::double)" for c in PDP)}) f(feature, v) GROUP BY 1),
+    p AS (SELECT feature, g::int AS grid_index, lo + g * ((hi - lo) / 9) AS grid_value FROM q, range(10) r(g)),
+    m AS (SELECT avg({_linear(STUDY)}) AS mean, {", ".join(f"avg({c}) AS {c}" for c in PDP)} FROM t)
+    SELECT feature, grid_index, {{{{grid_value}}}} AS grid_value, {{{{mean + CASE feature {" ".join(f"WHEN '{c}' THEN {STUDY.coefs[c]}e0 * (grid_value - m.{c})" for c in PDP)} END}}}} AS mean_prediction FROM p, m""",
+)
+def _(fx):
+    return training.partial_dependence(STUDY, _train_frame(fx).na.drop(subset=LAGS), PDP)
+
+
+@query(
+    "permutation_importance",
+    f"""WITH t AS (SELECT *, md5(concat_ws('|', '42', "LCLid", day::varchar)) AS h FROM ({_WHOLE})),
+    b AS (SELECT *, ('0x' || substr(h, 1, 8))::bigint % 64 AS bin FROM t),
+    d AS (SELECT *, {_linear(STUDY)} AS p, {", ".join(f"coalesce(lead({c}) OVER w, first_value({c}) OVER w) AS d_{c}" for c in FEATS)}
+      FROM b WINDOW w AS (PARTITION BY bin ORDER BY h, "LCLid", day)),
+    e AS (SELECT feature, sqrt(avg((p + delta - label_1) ** 2)) AS rmse FROM d CROSS JOIN LATERAL (
+      VALUES {", ".join(f"('{c}', {STUDY.coefs[c]}e0 * (d.d_{c} - d.{c}))" for c in FEATS)}) f(feature, delta) GROUP BY 1)
+    SELECT feature, {{{{rmse}}}} AS rmse, {{{{rmse - (SELECT sqrt(avg((p - label_1) ** 2)) FROM d)}}}} AS rmse_rise FROM e""",
+)
 def _(fx):
-    df = _train_frame(fx)
-    model, _, _ = training.fit_linear(df, FEATS, "label_1")
-    return training.partial_dependence(model, df.select(*FEATS), "lag1_total")
+    return training.permutation_importance(STUDY, _train_frame(fx), FEATS, "label_1", bins=64)
 
 
-@query("permutation_importance")
+_RING = _linear(RECURSIVE, "{}").replace("lag14_total", "l[1]").replace("lag7_total", "l[8]").replace("lag1_total", "l[14]")
+_RING = _RING.replace("roll7_total_mean", "list_aggregate(l[8:14], 'avg')").replace("roll14_total_mean", "list_aggregate(l, 'avg')")
+
+
+@query(
+    "recursive_forecast",
+    f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY "LCLid" ORDER BY day DESC) AS k FROM meter),
+    s AS (SELECT "LCLid", max(day) AS day, list(total_kwh ORDER BY day) AS v FROM r WHERE k <= 14 GROUP BY 1),
+    f AS (SELECT "LCLid", day, 0 AS step, list_concat([NULL::double FOR i IN range(14 - len(v))], v) AS l, NULL::double AS y_pred FROM s
+      UNION ALL SELECT "LCLid", (day + 1)::date, step + 1, list_concat(l[2:14], [{_RING}]), {_RING} FROM f WHERE step < 3)
+    SELECT "LCLid", day, step::int AS step, {{{{y_pred}}}} AS y_pred FROM f WHERE step > 0""",
+)
 def _(fx):
-    df = _train_frame(fx)
-    model, _, _ = training.fit_linear(df, FEATS, "label_1")
-    return training.permutation_importance(model, df, FEATS, "label_1", ["lag1_total", "roll14_total_mean"])
+    return training.recursive_forecast(RECURSIVE, fx.meter(), 3)
+
+
+PRUNE = [*LAGS, "month", "day_of_year", "temp_avg", "heating_degree_days"]
+_PAIRS = [(a, b) for i, a in enumerate(PRUNE) for b in PRUNE[i + 1 :]]
 
 
-@query("recursive_forecast")
+@query(
+    "pair_correlations",
+    "SELECT a, b, rows, {{r}} AS r FROM ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS rows, corr({a}, {b}) AS r FROM lagged" for a, b in _PAIRS)
+    + ")",
+)
 def _(fx):
-    df = _train_frame(fx)
-    model, _, _ = training.fit_linear(df, LAGS, "total_kwh")
-    return training.recursive_forecast(model, fx.meter(), 3)
+    return training.pair_correlations(fx.lagged(), PRUNE)
 
 
-@query("prune_correlated")
+@query(
+    "prune_correlated",
+    "WITH RECURSIVE c AS MATERIALIZED ("
+    + " UNION ALL ".join(f"SELECT {PRUNE.index(a)} AS i, {PRUNE.index(b)} AS j, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lagged" for a, b in _PAIRS)
+    + """),
+    s AS (SELECT 0 AS i, []::int[] AS gone UNION ALL
+      SELECT i + 1, CASE WHEN list_contains(gone, s.i) THEN gone ELSE list_concat(gone, (SELECT coalesce(list(c.j), []) FROM c WHERE c.i = s.i AND abs(c.r) > 0.9)) END FROM s WHERE i < 9)
+    SELECT a AS kept, b AS dropped, {{r}} AS r FROM c JOIN s ON s.i = c.i WHERE abs(r) > 0.9 AND NOT list_contains(s.gone, c.i)""",
+)
 def _(fx):
-    _, pairs = training.prune_correlated(fx.lagged().na.drop(subset=LAGS), [*LAGS, "month", "day_of_year"], 0.9)
+    _, pairs = training.prune_correlated(fx.lagged(), PRUNE, 0.9)
     return pairs
 
 
@@ -121,6 +201,30 @@ def _(fx):
     return training.driver_report(df, feats, "total_kwh", columns.feature_groups(feats, "dated_study"))
 
 
+_C = {c: f"{b}e0" for c, b in COEFS.items()}
+
+
+@query(
+    "driver_report_fixed",
+    f"""WITH d AS (SELECT day, row_number() OVER (ORDER BY day DESC) AS k FROM (SELECT DISTINCT day FROM lagged WHERE lag7_total IS NOT NULL)),
+    t AS (SELECT l.* FROM lagged l JOIN d ON l.day = d.day WHERE lag7_total IS NOT NULL AND k <= 90),
+    p AS (SELECT *, total_kwh AS y_true, {INTERCEPT}e0 + {" + ".join(f"{b} * {c}" for c, b in _C.items())} AS y_pred FROM t),
+    m AS (SELECT {", ".join(f"avg({c}) AS m_{c}" for c in COEFS)} FROM t),
+    i AS (SELECT feature, avg(abs(v)) AS importance FROM t, m CROSS JOIN LATERAL (VALUES {", ".join(f"('{c}', {b} * (t.{c} - m.m_{c}))" for c, b in _C.items())}) f(feature, v) GROUP BY 1),
+    s AS (SELECT {{{{avg(abs(y_pred - y_true))}}}} AS mae, {{{{sqrt(avg((y_pred - y_true) ** 2))}}}} AS rmse, 1 - sum((y_pred - y_true) ** 2) / nullif(var_pop(y_true) * count(*), 0) AS q,
+      {{{{avg(abs(y_pred - y_true) / abs(y_true)) FILTER (y_true <> 0) * 100}}}} AS mape, {{{{avg(y_true)}}}} AS avg_consumption, {{{{avg(abs(y_pred - y_true)) / avg(y_true) * 100}}}} AS relative_error FROM p)
+    SELECT 'test' AS split, mae, rmse, {{{{q}}}} AS r2, mape, {{{{q * 100}}}} AS variance_explained, avg_consumption, relative_error,
+    CASE WHEN q > 0.95 THEN 'EXCELLENT' WHEN q > 0.80 THEN 'GOOD' ELSE 'FAIR' END AS model_quality,
+    (SELECT feature FROM i ORDER BY importance DESC, feature LIMIT 1) AS top_driver,
+    (SELECT CASE WHEN feature IN ('is_weekend', 'month') THEN 'calendar' ELSE 'past_use' END AS g FROM i GROUP BY 1 ORDER BY avg(importance) DESC, g LIMIT 1) AS top_group,
+    5 AS total_features, 2 AS feature_groups FROM s""",
+)
+def _(fx):
+    df = splits.split_by_date_position(fx.contribution_input())
+    scorer = training.LinearScorer(COEFS, INTERCEPT)
+    return training.driver_report(df, list(COEFS), "total_kwh", {"past_use": ["lag1_total", "lag7_total", "roll7_total_mean"], "calendar": ["is_weekend", "month"]}, scorer)
+
+
 # --- baselines and bias -------------------------------------------------------------------
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wattloom.operators import encode, panel, quantiles, splits
+from wattloom.operators import columns, encode, panel, quantiles, splits
 from wattloom.plans import feature_table as ft
 from wattloom.schema import DAY, ID
+from wattloom.session import scratch_path
 
 from .base import query
+from .oracle import FTAB_DOUBLE, FTAB_EXACT, ftab_columns, half_way_shift
 
 W = 'WINDOW w AS (PARTITION BY "LCLid" ORDER BY day)'
 
@@ -124,22 +126,19 @@ def _(fx):
     return panel.label_horizon(fx.meter(), 30).drop("total_kwh")
 
 
-# Sequences leave as one text per window, so arrays of arrays compare as plain values.
+# Sequences leave as one text per window that spells every value of X.
 def _seq_sql(key: str, extra: str, source: str, cols: str) -> str:
     part = ", ".join(f'"{k}"' for k in key.split())
-    return f"""SELECT {", ".join(f'"{k}"' for k in key.split())}, day, {extra} {{{{y}}}} AS y, {{{{s1}}}} AS first_kwh, {{{{s14}}}} AS last_kwh, {{{{tsum}}}} AS temp_sum, n::int AS steps
-    FROM (SELECT *, total_kwh AS y, lag(total_kwh, 14) OVER w AS s1, lag(total_kwh, 1) OVER w AS s14,
-      sum("temperatureMax") OVER p AS tsum, count("temperatureMax") OVER p AS n FROM {source}
-      WINDOW w AS (PARTITION BY {part} ORDER BY day), p AS (PARTITION BY {part} ORDER BY day ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)) WHERE n = 14"""
+    cell = f"(v[{{}}] + {half_way_shift(4)!r})::decimal(18, 4)::varchar"
+    return f"""SELECT {part}, day, {extra} {{{{y}}}} AS y, n::int AS steps, array_to_string(list_transform(xs, lambda v: {cell.format(1)} || ',' || {cell.format(2)}), ';') AS x
+    FROM (SELECT *, total_kwh AS y, list([total_kwh, "temperatureMax"]) OVER p AS xs, count("temperatureMax") OVER p AS n FROM {source}
+      WINDOW p AS (PARTITION BY {part} ORDER BY day ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)) WHERE n = 14"""
 
 
 def _flat(df, *extra):
-    x = F.col("X")
-    temp = F.aggregate(x, F.lit(0.0), lambda a, v: a + v[1])
     keys = [c for c in df.columns if c not in ("X", "y", DAY, *extra)]
-    return df.select(
-        *keys, DAY, *extra, "y", x[0][0].alias("first_kwh"), x[13][0].alias("last_kwh"), temp.alias("temp_sum"), F.size(x).alias("steps")
-    )
+    text = F.transform("X", lambda v: F.concat_ws(",", *[(v[i] + half_way_shift(4)).cast("decimal(18,4)").cast("string") for i in range(2)]))
+    return df.select(*keys, DAY, *extra, "y", F.size("X").alias("steps"), F.array_join(text, ";").alias("x"))
 
 
 _SEQ = ["total_kwh", "temperatureMax"]
@@ -198,7 +197,7 @@ def _(fx):
     "acorn_relatives",
     """SELECT "LCLid", day, {{avg(total_kwh) OVER w}} AS acorn_mean_consumption, {{stddev_samp(total_kwh) OVER w}} AS acorn_variability,
     {{total_kwh / avg(total_kwh) OVER w}} AS household_vs_acorn, {{max(total_kwh) OVER w / avg(total_kwh) OVER w}} AS acorn_peak_ratio,
-    {{stddev_samp(total_kwh) OVER w / avg(total_kwh) OVER w}} AS acorn_relative_variability FROM merged WINDOW w AS (PARTITION BY "Acorn_grouped")""",
+    {{stddev_samp(total_kwh) OVER h / stddev_samp(total_kwh) OVER w}} AS acorn_relative_variability FROM merged WINDOW w AS (PARTITION BY "Acorn_grouped"), h AS (PARTITION BY "LCLid")""",
 )
 def _(fx):
     df = panel.acorn_relatives(fx.merged())
@@ -282,48 +281,65 @@ def _(fx):
 
 
 def _prep_sql(h: int) -> str:
-    lab = f'(SELECT *, lead(total_kwh, {h}) OVER (PARTITION BY "LCLid" ORDER BY day) AS label FROM lagged)'
+    lab = f'(SELECT *, lead(total_kwh, {h}) OVER (PARTITION BY "LCLid" ORDER BY day) AS label FROM ftab)'
     src = f"(SELECT * FROM {lab} WHERE label IS NOT NULL)"
-    return f"""SELECT "LCLid", day, split, {{{{label}}}} AS label_{h}, {{{{lag1_total}}}} AS lag1_total, {{{{roll7_total_mean}}}} AS roll7_total_mean, dayofweek,
-    {{{{"temperatureMax"}}}} AS "temperatureMax", "Acorn_grouped" FROM {_SPLIT.format(test=90, both=120, src=src)}"""
+    return f'SELECT "LCLid", day, split, {{{{label}}}} AS label_{h}, {ftab_columns(("total_kwh",))} FROM {_SPLIT.format(test=90, both=120, src=src)}'
 
 
 def _prep(p):
     assert "total_kwh" not in p.data.columns and p.target not in p.features
-    cols = ["lag1_total", "roll7_total_mean", "dayofweek", "temperatureMax", "Acorn_grouped"]
-    return p.data.select(ID, DAY, "split", p.target, *[c for c in p.features if c in cols])
+    return p.data.select(ID, DAY, "split", p.target, *p.features)
 
 
 @query("prepare_day_ahead", _prep_sql(1))
 def _(fx):
-    return _prep(ft.prepare_day_ahead(fx.lagged()))
+    return _prep(ft.prepare_day_ahead(ft.feature_table(fx.merged())))
 
 
 @query("prepare_week_ahead", _prep_sql(7))
 def _(fx):
-    return _prep(ft.prepare_week_ahead(fx.lagged()))
+    return _prep(ft.prepare_week_ahead(ft.feature_table(fx.merged())))
 
 
-@query(
-    "prepare_driver_analysis",
-    f"""SELECT "LCLid", day, split, {{{{total_kwh}}}} AS total_kwh, {{{{temp_avg}}}} AS temp_avg, is_weekend, month, "stdorToU" FROM {_POS.format(src="feat")}""",
-)
+_FTAB = [c.strip('"') for c in [*FTAB_EXACT, *FTAB_DOUBLE]]
+
+
+def _left_out(kind: str) -> tuple[str, ...]:
+    return tuple(c for c in _FTAB if c not in columns.study_columns(_FTAB, "total_kwh", kind) and c != "total_kwh")
+
+
+@query("prepare_driver_analysis", f'SELECT "LCLid", day, split, {ftab_columns(_left_out("dated_study"))} FROM {_POS.format(src="ftab")}')
 def _(fx):
-    p = ft.prepare_driver_study(fx.features())
-    want = ["temp_avg", "is_weekend", "month", "stdorToU"]
-    return p.data.select(ID, DAY, "split", "total_kwh", *[c for c in p.features if c in want])
+    p = ft.prepare_driver_study(ft.feature_table(fx.merged()))
+    return p.data.select(ID, DAY, "split", "total_kwh", *p.features)
 
 
-@query(
-    "prepare_stage0",
-    f"""SELECT "LCLid", day, CASE WHEN {_HASH} < 200 THEN 'test' ELSE 'train' END AS split, {{{{total_kwh}}}} AS total_kwh, {{{{lag7_total}}}} AS lag7_total,
-    (dense_rank() OVER (ORDER BY "Acorn_grouped") - 1)::int AS "Acorn_grouped", (dense_rank() OVER (ORDER BY "stdorToU") - 1)::int AS "stdorToU" FROM lagged
-    WHERE lag7_total IS NOT NULL AND humidity IS NOT NULL""",
-)
+def _stage0_sql() -> str:
+    out = _left_out("random_study")
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in [*FTAB_EXACT, *FTAB_DOUBLE] if c.strip('"') not in out)
+    texts = ('"Acorn"', '"Acorn_grouped"', '"stdorToU"', "season")
+    cols = ftab_columns((*out, *[c.strip('"') for c in texts]))
+    codes = ", ".join(f"(dense_rank() OVER (ORDER BY {c}) - 1)::int AS {c}" for c in texts)
+    return f"""SELECT "LCLid", day, CASE WHEN {_HASH} < 200 THEN 'test' ELSE 'train' END AS split, {codes}, {cols} FROM (SELECT * FROM ftab WHERE {whole})"""
+
+
+@query("prepare_stage0", _stage0_sql())
+def _(fx):
+    """The feature table is written first, as the study reads it for the test and for each encoder."""
+    features = ft.feature_table(fx.merged())
+    path = scratch_path(fx.spark, "features")
+    features.write.parquet(path)
+    p = ft.prepare_driver_study(fx.spark.read.schema(features.schema).parquet(path), kind="random_study")
+    return p.data.select(ID, DAY, "split", "total_kwh", *p.features)
+
+
+@query("unscale_standard", 'SELECT "LCLid", day, {{total_kwh}} AS kwh FROM meter')
 def _(fx):
-    df = fx.lagged().select(ID, DAY, "total_kwh", "lag7_total", "humidity", "Acorn_grouped", "stdorToU", "holiday_type")
-    p = ft.prepare_driver_study(df, kind="random_study")
-    return p.data.select(ID, DAY, "split", "total_kwh", "lag7_total", "Acorn_grouped", "stdorToU")
+    """Scaled with the train rows' figures and brought back with them."""
+    df = splits.split_by_date(fx.meter())
+    train = df.where("split = 'train'")
+    scaled = encode.scale_standard(df, ["total_kwh"], F.col("split") == "train")
+    return encode.unscale_standard(scaled, "total_kwh_z", train, "total_kwh", "kwh").select(ID, DAY, "kwh")
 
 
 @query(

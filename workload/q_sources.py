@@ -96,6 +96,20 @@ def _(fx):
     )
 
 
+@query(
+    "model_round_trip",
+    """SELECT "LCLid", day, {{total_kwh}} AS y_true, {{a + b * lag1_total}} AS y_pred FROM lagged,
+    (SELECT regr_intercept(total_kwh, lag1_total) AS a, regr_slope(total_kwh, lag1_total) AS b FROM lagged WHERE lag7_total IS NOT NULL) WHERE lag7_total IS NOT NULL""",
+)
+def _(fx):
+    """Fitted on one input, saved, loaded and scored."""
+    df = fx.contribution_input()
+    model, _, _ = training.fit_linear(df, ["lag1_total"], "total_kwh")
+    path = scratch_path(fx.spark, "model")
+    writers.save_model(model, path)
+    return training.score_splits(writers.load_model(path), df, "total_kwh", (ID, DAY))
+
+
 @query("model_io")
 def _(fx):
     df = fx.contribution_input().withColumn("label", F.col("total_kwh"))
