@@ -40,10 +40,14 @@ def clean_and_merge(
     return cal.season_of_month(cal.month_of_day(df))
 
 
-def day_counts(df: DataFrame) -> DataFrame:
+def day_counts(df: DataFrame, weather: DataFrame | None = None) -> DataFrame:
     """(day, windSpeed, n): how many rows a day has. Global statistics read this small table: it has
-    the length of the calendar and is combined map-side, in one pass over two columns."""
-    return df.groupBy(DAY, "windSpeed").agg(F.count(F.lit(1)).alias("n"))
+    the length of the calendar and is combined map-side. With `weather`, `df` may be the readings
+    before any join: their days are counted and the few days joined, not the readings."""
+    n = F.count(F.lit(1)).alias("n")
+    if weather is None:
+        return df.groupBy(DAY, "windSpeed").agg(n)
+    return clean.join_weather(df.groupBy(DAY).agg(n), weather.select(DAY, "windSpeed"))
 
 
 def calendar_features(df: DataFrame, trend: bool = True, days: DataFrame | None = None) -> DataFrame:
@@ -62,14 +66,20 @@ def weather_features(df: DataFrame, approx: bool = False, days: DataFrame | None
     return wx.season_weather_need(wx.temp_sensitivity(df))
 
 
-def feature_table(df: DataFrame, approx: bool = False, peak_flags: bool = False) -> DataFrame:
+def feature_table(
+    df: DataFrame, approx: bool = False, peak_flags: bool = False, days: DataFrame | None = None
+) -> DataFrame:
     """All features; nothing is dropped. Works with a profile column or daily totals only.
 
-    Global statistics (first day, wind quartiles) come from one table of day counts; all household
+    Global statistics (first day, wind quartiles) come from one table of day counts, `days`: made
+    from `df` itself, or cheaper by the caller from the readings (see day_counts). All household
     windows share one exchange.
     """
-    days = None if approx else day_counts(df)
-    df = calendar_features(df, days=days)
+    if days is None and not approx:
+        days = day_counts(df)
+    # the test keeps the count, and drops no day that has a date, in both uses of the table, so that they have
+    # the same plan and the days are counted once
+    df = calendar_features(df, days=None if days is None else days.where(f"n > 0 and {DAY} is not null"))
     if PROFILE in df.columns:
         df = prof.consumption_features(df)
         if peak_flags:

@@ -9,7 +9,7 @@ from wattloom.functions import calendar as cal
 from wattloom.functions import profile as prof
 from wattloom.functions import weather as wx
 from wattloom.operators import clean, drivers, panel, splits
-from wattloom.plans.feature_table import clean_weather
+from wattloom.plans.feature_table import clean_weather, day_counts, feature_table
 from wattloom.schema import DAY, ID
 
 # fixed coefficients of the linear driver model used by the contribution queries
@@ -109,6 +109,10 @@ class Fixtures:
     def merged(self) -> DataFrame:
         return self.with_dims(self.meter())
 
+    def feature_table(self) -> DataFrame:
+        """All features; global statistics come from the readings' day counts."""
+        return feature_table(self.merged(), days=day_counts(self.meter(), self.weather()))
+
     def calendar(self) -> DataFrame:
         return cal.holiday_flags(cal.season_flags(cal.calendar_basic(self.merged())))
 

@@ -6,7 +6,6 @@ from wattloom.functions import calendar as cal
 from wattloom.functions import profile as prof
 from wattloom.functions import weather as wx
 from wattloom.operators import columns
-from wattloom.plans import feature_table as ft
 from wattloom.schema import DAY, EXPECTED_COLUMNS, HH_COLS, ID, PROFILE
 
 from .base import query
@@ -318,4 +317,4 @@ def _(fx):
 
 @query("feature_table", f'SELECT "LCLid", day, {ftab_columns()} FROM ftab')
 def _(fx):
-    return ft.feature_table(fx.merged())
+    return fx.feature_table()

@@ -84,7 +84,7 @@ def _(fx):
 
 
 def _job(fx, prepare):
-    prepared = prepare(plans.feature_table(fx.merged()))
+    prepared = prepare(fx.feature_table())
     _, scored = forecasting.forecast(prepared, params={"maxDepth": 4})
     return scored
 

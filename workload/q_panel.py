@@ -293,12 +293,12 @@ def _prep(p):
 
 @query("prepare_day_ahead", _prep_sql(1))
 def _(fx):
-    return _prep(ft.prepare_day_ahead(ft.feature_table(fx.merged())))
+    return _prep(ft.prepare_day_ahead(fx.feature_table()))
 
 
 @query("prepare_week_ahead", _prep_sql(7))
 def _(fx):
-    return _prep(ft.prepare_week_ahead(ft.feature_table(fx.merged())))
+    return _prep(ft.prepare_week_ahead(fx.feature_table()))
 
 
 _FTAB = [c.strip('"') for c in [*FTAB_EXACT, *FTAB_DOUBLE]]
@@ -310,7 +310,7 @@ def _left_out(kind: str) -> tuple[str, ...]:
 
 @query("prepare_driver_analysis", f'SELECT "LCLid", day, split, {ftab_columns(_left_out("dated_study"))} FROM {_POS.format(src="ftab")}')
 def _(fx):
-    p = ft.prepare_driver_study(ft.feature_table(fx.merged()))
+    p = ft.prepare_driver_study(fx.feature_table())
     return p.data.select(ID, DAY, "split", "total_kwh", *p.features)
 
 
@@ -326,7 +326,7 @@ def _stage0_sql() -> str:
 @query("prepare_stage0", _stage0_sql())
 def _(fx):
     """The feature table is written first, as the study reads it for the test and for each encoder."""
-    features = ft.feature_table(fx.merged())
+    features = fx.feature_table()
     path = scratch_path(fx.spark, "features")
     features.write.parquet(path)
     p = ft.prepare_driver_study(fx.spark.read.schema(features.schema).parquet(path), kind="random_study")
