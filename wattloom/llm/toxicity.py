@@ -77,32 +77,41 @@ def learn_lexicon(
     """
     ship(sample.sparkSession)
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean, n = Counter(), Counter(), [0, 0]
-        for b in slices(batches, "text"):
-            for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                n[y > 0] += 1
-                (toxic if y else clean).update({s for w in set(folded_words(t)) for s in stems_of(w)})
-        keys = [k for k, v in toxic.items()]
-        rows = {"stem": [*keys, ""], "toxic": [*(toxic[k] for k in keys), n[1]], "clean": [*(clean[k] for k in keys), n[0]]}
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("stem", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())]))
-
-    # toxic and clean texts meet in each of a few tasks, so a stem that no toxic text of the task
-    # has is not sent; clean counts are taken again below for the entries that remain
+    def counts(wanted: frozenset | None):
+        """(stem, n): texts that hold the stem, of all stems or those wanted."""
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "text"):
+                n: Counter[str] = Counter()
+                for t in b.column("text").to_pylist():
+                    own = {s for w in set(folded_words(t)) for s in stems_of(w)}
+                    n.update(own if wanted is None else own & wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["stem", "n"])
+
+        return emit
+
     @F.pandas_udf("long")
     def mark(texts: pd.Series) -> pd.Series:
         return pd.Series([min((zlib.crc32(f"{a} {b}".encode()) for a, b in pairwise(folded_words(t))), default=zlib.crc32(t.encode())) for t in texts])
 
     marked = sample.where(F.col("text").isNotNull()).select("label", "text", mark("text").alias("mark"))
-    once = marked.groupBy("mark", F.col("label") > 0).agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    once = marked.groupBy("mark", F.col("label") > 0).agg(F.max("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     once = cut_lineage(once.select("text", "label"))
-    per = once.mapInArrow(counts, "stem string, toxic long, clean long")
-    table = per.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     size = once.agg(F.count_if(F.col("label") > 0).alias("t"), F.count_if(F.col("label") <= 0).alias("c")).first()
     floor = max(least_docs, least_share * (size.t or 0))
-    rate = (F.col("toxic") / F.lit(max(1, size.t or 0))) / ((F.col("clean") + 0.5) / F.lit(max(1, size.c or 0)))
-    kept = table.where((F.col("stem") != "") & (F.col("toxic") >= floor) & (rate >= odds))
-    found = {r.stem: (r.toxic, math.log(r.rate)) for r in kept.withColumn("rate", rate).orderBy(F.desc("toxic"), F.desc("rate"), "stem").limit(20 * most).collect()}
+
+    def table(label: bool, wanted: frozenset | None, least: float) -> dict[str, int]:
+        rows = once.where((F.col("label") > 0) == label).mapInArrow(counts(wanted), "stem string, n long")
+        total = rows.groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        return {r["stem"]: r["n"] for r in total.collect()}
+
+    # what toxic texts hold first, then how often all clean texts hold that: the same counts however
+    # the rows are dealt to tasks. Both lists are bounded by the sample.
+    toxic = table(True, None, floor)
+    clean = table(False, frozenset(toxic), 0)
+    rate = {s: (n / max(1, size.t or 0)) / ((clean.get(s, 0) + 0.5) / max(1, size.c or 0)) for s, n in toxic.items()}
+    found = {s: (n, math.log(rate[s])) for s, n in toxic.items() if rate[s] >= odds}
+    found = dict(sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])))
     best = dict(found)
     for s in sorted(found, key=len):  # a beginning gives way to its continuation in the same texts
         longer = [x for x in found if len(x) == len(s) + 1 and x.startswith(s)]
