@@ -17,31 +17,40 @@ from wattloom.llm.simhash import simhash_groups
 from wattloom.session import scratch_path
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(__row, text): the given row as one value, so that no column of it can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").cast("string").alias("text"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as good; it learns from the labelled rows."""
-    scored = quality.score(docs, quality.fitted(spark, sf_dir))
-    return scored.where(F.col("predicted") == 1).select(*docs.columns)
+    scored = quality.score(_packed(docs), quality.fitted(spark, sf_dir))
+    return _unpacked(scored.where(F.col("predicted") == 1), docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon does not call toxic; its weights come from the labelled rows."""
-    scored = toxicity.score(docs, toxicity.fitted(spark, sf_dir))
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    scored = toxicity.score(_packed(docs), toxicity.fitted(spark, sf_dir))
+    return _unpacked(scored.where(F.col("predicted") == 0), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group (three-word shingles, two bits): the smallest doc_id.
 
-    Rows that share a doc_id are one document; the smallest row of them stays. Rows without a
-    doc_id belong to no group and all stay.
+    Rows that share a doc_id are one document; the one whose columns (but maps) have the smallest
+    hash stays. Rows without a doc_id belong to no group and all stay.
     """
     groups = simhash_groups(docs.select("doc_id", "text"), shingle=3, max_bits=2)
     first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("__row"))
-    one = one.select("doc_id", *[F.col("__row").getField(c).alias(c) for c in others]).select(*docs.columns)
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    kept = docs.select(F.col("doc_id"), F.xxhash64(*plain).alias("__hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    kept = kept.join(first, "doc_id", "left_semi")
+    one = kept.groupBy("doc_id").agg(F.min_by("__row", "__hash").alias("__row"))
+    return _unpacked(one, docs).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
