@@ -6,6 +6,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,36 +47,51 @@ def plain(word: str) -> bool:
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit words.
 
-    Pre-tokens never hold white space, so each distinct run between white space is encoded once
-    and kept (a bounded number of them). A run of Latin letters with marks behind it is the word,
-    encoded once for all its spellings, and the marks; any other run goes through the library's
-    whole chain.
+    Pre-tokens never hold white space, so each distinct run between white space is encoded once.
+    Runs that come twice in a call are kept for the next ones (a bounded number). A run of Latin
+    letters with marks behind it is the word, encoded once for all its spellings, and the marks; any
+    other run goes through the library's whole chain.
     """
-    runs, words = _CACHE.setdefault(path, ({}, {}))
+    kept, words = _CACHE.setdefault(path, ({}, {}))
     parts = [(SPACE.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-    fresh = {w for p in parts for w in p if w not in runs}
-    if len(runs) + len(fresh) > KEPT_WORDS:
-        runs.clear()
-        fresh = {w for p in parts for w in p}
+    out: list[bytes | None] = []
+    late = []
+    for i, p in enumerate(parts):
+        try:
+            out.append(b"".join(map(kept.__getitem__, p)))
+        except KeyError:
+            out.append(None)
+            late.append(i)
+    times: Counter[str] = Counter()
+    for i in late:
+        times.update(parts[i])
+    fresh = times.keys() - kept.keys()
     if len(words) > KEPT_WORDS:
         words.clear()
     t = tokenizer(path)
     cut = {w: w.rstrip(".,;:!?") for w in fresh}
     whole = [w for w, core in cut.items() if not plain(core)]
     marks = {w[len(core) :] for w, core in cut.items()} - words.keys()
-    for w, e in zip([*whole, *marks], t.encode_batch_fast([*whole, *marks], add_special_tokens=False), strict=True):
-        words[w] = np.array(e.ids, "<u4").tobytes()
-    rest = set(whole)
+    for some, into in ((whole, kept), (list(marks), words)):
+        for w, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            into[w] = array("I", e.ids).tobytes()
     for w, core in cut.items():
-        if w in rest:
-            runs[w] = words.pop(w)
+        if w in kept:
             continue
         low = core.lower()
         ids = words.get(low)
         if ids is None:
             ids = words[low] = array("I", [x.id for x in t.model.tokenize(low if low.isascii() else byte_letters(low))]).tobytes()
-        runs[w] = ids + words[w[len(core) :]]
-    return [b"".join([runs[w] for w in p]) for p in parts]
+        kept[w] = ids + words[w[len(core) :]]
+    for i in late:
+        out[i] = b"".join(map(kept.__getitem__, parts[i]))
+    if len(kept) > KEPT_WORDS:
+        kept.clear()
+    else:
+        for w in fresh:
+            if times[w] == 1:
+                del kept[w]
+    return out
 
 
 def pieces_table(docs: DataFrame, path: str, size: int, end_id: int, key: str, text: str, where: str) -> DataFrame:
