@@ -163,6 +163,52 @@ def crowd_links(members: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
+def bridges(members: DataFrame, threshold: float) -> DataFrame:
+    """(comp, other, rep, links): rows of other crowded components at the threshold or nearer.
+
+    A full list may hold rows of its own component only, so links between two crowded components can
+    be in no list. Their rows are dealt to blocks, blocks keep their centre and radius, and two
+    blocks of a group are compared row by row where centres and radii allow the threshold. `members`:
+    grp, comp, rep, n, vec.
+    """
+    size = members.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(size, "comp").withColumn("blk", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    blocks = dealt.groupBy("grp", "comp", "blk").agg(F.collect_list(F.struct("rep", "n", "vec")).alias("g"))
+    reach = float(np.arccos(np.clip(threshold, -1, 1)))
+
+    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            centres, radii = [], []
+            for g in b.column("g"):
+                x = units(g.values.field("vec"))
+                c = x.sum(axis=0)
+                c = c / (np.linalg.norm(c) or 1.0)
+                centres.append(c.tolist())
+                radii.append(float(np.arccos(np.clip(x @ c, -1, 1)).max()))
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("comp"), b.column("blk"), pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64())], ["grp", "comp", "blk", "centre", "radius"])
+
+    ball = cut_lineage(blocks.mapInArrow(balls, "grp long, comp long, blk int, centre array<double>, radius double"))
+    twin = ball.select("grp", *[F.col(c).alias(f"{c}2") for c in ("comp", "blk", "centre", "radius")])
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(F.zip_with("centre", "centre2", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))))
+    pairs = ball.join(twin, "grp").where(F.col("comp") < F.col("comp2")).where(angle <= F.col("radius") + F.col("radius2") + F.lit(reach + 1e-6))
+    pairs = pairs.select("comp", "blk", "comp2", "blk2")
+    plain = blocks.select("comp", "blk", "g")
+    both = pairs.join(plain, ["comp", "blk"]).join(plain.toDF("comp2", "blk2", "h"), ["comp2", "blk2"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                a, c = (b.column(f)[i].values for f in ("g", "h"))
+                near = units(a.field("vec")) @ units(c.field("vec")).T >= threshold
+                one, two = b.column("comp")[i].as_py(), b.column("comp2")[i].as_py()
+                for s, other, comp, to in ((a, near @ c.field("n").to_numpy(), one, two), (c, a.field("n").to_numpy() @ near, two, one)):
+                    hit = np.flatnonzero(other)
+                    data = [np.full(len(hit), comp), np.full(len(hit), to), s.field("rep").to_numpy()[hit], other[hit]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in data], ["comp", "other", "rep", "links"])
+
+    return both.select("comp", "comp2", "g", "h").mapInArrow(count, "comp long, other long, rep long, links long")
+
+
 def audit(classes: DataFrame, found: DataFrame, threshold: float, sample: int, seed: int) -> float:
     """Share of the links of at most `sample` vectors, compared with all, that were found."""
     some = classes.orderBy(F.xxhash64(F.lit(seed), "rep"), "rep").limit(sample).collect()
@@ -197,8 +243,9 @@ def near_duplicates(
 
     Copies form one class. The neighbour graph starts from random-hyperplane leaves and is refined
     `rounds` times, then until an audit of at most 200 vectors against all finds `recall` of their
-    links (at most `extra` rounds more). Lists grow from k to `most` when full of links; the links in
-    components that hold a full list are counted block against block, so none is cut off.
+    links (at most `extra` rounds more; if it still does not, an error is raised). Lists grow from k to
+    `most` when full of links; the links in and between components that hold a full list are counted
+    block against block, so none is cut off.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -218,8 +265,13 @@ def near_duplicates(
         comps = components(linked.toDF("a", "b"))
         full = linked.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= most)
         crowded = full.join(comps, full.u == comps.node).select(F.col("root").alias("comp")).distinct()
-        members = classes.join(comps, F.col("rep") == F.col("node")).select(F.col("root").alias("comp"), "rep", "n", "vec")
-        crowd = crowd_links(members.join(crowded, "comp", "left_semi"), threshold)
+        members = classes.join(comps, F.col("rep") == F.col("node")).select("grp", F.col("root").alias("comp"), "rep", "n", "vec")
+        members = members.join(crowded, "comp", "left_semi")
+        across = cut_lineage(bridges(members, threshold))
+        crowd = crowd_links(members.drop("grp"), threshold).unionByName(across.select("rep", "links"))
+        crowd = crowd.groupBy("rep").agg(F.sum("links").alias("links"))
+        merged = components(across.select(F.col("comp").alias("a"), F.col("other").alias("b"))).toDF("root", "top")
+        comps = comps.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         either = linked.unionByName(linked.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
         sizes = classes.select(F.col("rep").alias("v"), "n")
         plain = either.join(sizes, "v").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links_out"))
@@ -228,6 +280,8 @@ def near_duplicates(
         found = cut_lineage(found.select("rep", links.alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
         if audit(classes, found, threshold, 200, seed) >= recall:
             break
+    else:
+        raise RuntimeError(f"the audit found less than {recall} of the links; raise `most`, `trees` or `extra`")
     owner = classes.select("label", "vec", "rep").join(found, "rep").drop("rep")
     linked_rows = good.join(owner, ["label", "vec"]).select("id", "n_links", "component_id")
     alone = rows.where(~(F.col("label").isNotNull() & F.col("id").isNotNull() & usable("vec")))
