@@ -103,8 +103,12 @@ class Fixtures:
         return clean.map_holiday_category(self.holiday_raw())
 
     def with_dims(self, df: DataFrame) -> DataFrame:
-        out = clean.merge_all(df, self.household(), self.weather(), self.holiday())
-        return cal.season_of_month(cal.month_of_day(out))
+        return self.with_days(clean.join_household(df, self.household()))
+
+    def with_days(self, df: DataFrame) -> DataFrame:
+        """The dimensions by day; no row is copied."""
+        out = clean.join_holiday(clean.join_weather(df, self.weather()), self.holiday())
+        return cal.season_of_month(cal.month_of_day(clean.fill_holiday_default(out)))
 
     def merged(self) -> DataFrame:
         return self.with_dims(self.meter())
@@ -117,7 +121,11 @@ class Fixtures:
         return cal.holiday_flags(cal.season_flags(cal.calendar_basic(self.merged())))
 
     def features(self) -> DataFrame:
-        return wx.temp_features(self.calendar())
+        return self._day_features(self.merged())
+
+    @staticmethod
+    def _day_features(df: DataFrame) -> DataFrame:
+        return wx.temp_features(cal.holiday_flags(cal.season_flags(cal.calendar_basic(df))))
 
     def clusters(self) -> DataFrame:
         return self.meter().withColumn("cluster", three_way(F.col("total_kwh"), 20, 35))
@@ -126,7 +134,13 @@ class Fixtures:
         return self.features().withColumn("cluster", three_way(F.col("total_kwh"), 20, 35))
 
     def lagged(self) -> DataFrame:
-        return panel.panel_safe(self.features())
+        """features with lags and rolling means. The household windows run before the joins by day,
+        which copy no row, so they sort short rows: what a task holds is a fraction of the features."""
+        homes = clean.join_household(self.meter(), self.household())
+        windows = panel.panel_safe(homes)
+        new = [c for c in windows.columns if c not in homes.columns]
+        out = self._day_features(self.with_days(windows))
+        return out.select(*[c for c in out.columns if c not in new], *new)
 
     def readings(self) -> DataFrame:
         return self.table("events").select(F.col("user_id").cast("string").alias(ID), "ts", F.col("value").alias("kwh"))
