@@ -122,11 +122,13 @@ def fit_boosted_trees(
     early_stopping: bool = True,
 ) -> PipelineModel:
     """Boosting on train with the val rows for early stopping, then a refit on both with the
-    number of trees that was kept."""
+    number of trees that was kept. Only the training rows and columns are kept, in the shared folder,
+    so that all passes read them there and the memory is left to the trees."""
     used = df.select(*features, F.col(label).cast("double").alias("label"), "split")
     used = dropna_any(used.where(F.col("split").isin("train", "val")), [*features, "label"])
     assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    trees = boost(assemble.transform(used), params, rounds, seed, early_stopping)
+    rows = cut_lineage(assemble.transform(used).select("features", "label", "split"))
+    trees = boost(rows, params, rounds, seed, early_stopping)
     return PipelineModel(stages=[assemble, trees])
 
 

@@ -118,6 +118,7 @@ def _(fx):
 def _(fx):
     df = _train_frame(fx).persist()
     model = training.fit_boosted_trees(df, FEATS, "label_1", {"maxDepth": 3}, rounds=10, early_stopping=False)
+    df.unpersist()
     return training.feature_importance(model, df, FEATS)
 
 
