@@ -44,6 +44,7 @@ SPACE = {
     "minInstancesPerNode": [1, 5, 10],
     "featureSubsetStrategy": ["all", "0.8", "0.6"],
 }
+ROWS_AT_ONCE = 40_000_000  # of the trials of a search that run side by side
 DEFAULTS = {"maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 1}
 
 
@@ -157,13 +158,19 @@ def tune_boosted_trees(
     `n_trials` draws start with a quarter of `rounds` on the last of `folds` time-ordered folds of
     the train and val rows. The better half goes on with twice the rounds, and so on; the last
     race has all rounds and all folds. A trial is fitted before a fold's test days, less
-    `gap` days, and scored by RMSE on them. Trials of a race run side by side, `parallel` at a time.
+    `gap` days, and scored by RMSE on them. The folds are written once as vectors, which all trials
+    read. Trials of a race run side by side, `parallel` at a time, fewer where the rows they keep in
+    memory would pass ROWS_AT_ONCE: large folds fill the cores one by one.
     A trial that fails is logged and leaves the search; if all fail the first error is raised.
     """
     draw = random.Random(seed)
     used = df.where(F.col("split").isin("train", "val"))
     used = dropna_any(used.select(ID, DAY, *features, F.col(label).cast("double").alias("label")), [*features, "label"])
-    used = cut_lineage(rolling_origin_folds(used, folds, gap).repartition("fold", ID).sortWithinPartitions("fold", ID, DAY))
+    used = rolling_origin_folds(used, folds, gap).repartition("fold", ID).sortWithinPartitions("fold", ID, DAY)
+    assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    used = cut_lineage(assemble.transform(used).select("fold", "role", "label", "features"))
+    largest = used.groupBy("fold").count().agg(F.max("count")).first()[0] or 0
+    parallel = max(1, min(parallel, ROWS_AT_ONCE // max(largest, 1)))
     trials = [{"trial": i, "params": {k: draw.choice(v) for k, v in SPACE.items()}, "rounds": 0, "rmse": None} for i in range(n_trials)]
 
     def race(trial: dict, n: int, on: Sequence[int]) -> None:
@@ -172,7 +179,7 @@ def tune_boosted_trees(
             for fold in on:
                 part = used.where(F.col("fold") == fold)
                 tree = GBTRegressor(labelCol="label", seed=seed, maxIter=n, **trial["params"])
-                model = _assembled(features, tree).fit(part.where("role = 'train'"))
+                model = tree.fit(part.where("role = 'train'"))
                 scored = model.transform(part.where("role = 'test'"))
                 scored = scored.select(F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
                 errors.append(scored.agg(ev.rmse()).first()[0])
