@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import read, ship, slices
 
-KEPT_STATES = 700_000
+KEPT_STATES = 400_000
 BLOCK_STATES = 1 << 16
 _CACHE: dict = {}
 _NONE = np.zeros(0, np.int64)
@@ -426,7 +426,7 @@ def sample_segmentations(
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(path, sharpness)
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 1 << 19):
             lattice.make_room()
             starts = lattice.starts(b.column("text").to_pylist())
             seeds = [xxhash.xxh64_intdigest(name, seed) for name in b.column("name").to_pylist()]
@@ -436,6 +436,7 @@ def sample_segmentations(
             ends = pa.array(places[np.cumsum([0, *map(len, rows)])], pa.int32())
             lists = pa.ListArray.from_arrays(ends, pa.array(ids))
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), pa.array(rank, pa.int32()), lists, pa.array(logp), pa.array(inclusion)], ["id", "rank", "ids", "log_prob", "log_inclusion"])
+        lattice.clear()  # the worker may be given other work next
 
     out = source.mapInArrow(draw, f"id {id_type}, rank int, ids array<int>, log_prob double, log_inclusion double")
     return out.withColumnRenamed("id", key).withColumn("inclusion", F.exp("log_inclusion"))
