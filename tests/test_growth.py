@@ -88,6 +88,30 @@ def test_large_folds_are_searched_one_by_one(days, monkeypatch):
     assert asked == [4, 1] and few == one
 
 
+def test_a_trial_reads_the_rows_of_its_fold_only(days, spark, monkeypatch):
+    df, _ = days
+    seen, kept = plans_of_fits(monkeypatch), spark.sparkContext._jsc.getPersistentRDDs().size()
+    training.tune_boosted_trees(df, ["x1", "x2"], "y", n_trials=2, rounds=1)
+    assert seen and all(re.match(r"InMemoryRelation \[label#\d+, features#\d+\], StorageLevel\(disk, ", p) for p in seen)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
+def test_test_rows_keep_no_trial_waiting(days, monkeypatch):
+    df, _ = days
+    asked = []
+
+    class Pool(training.ThreadPoolExecutor):
+        def __init__(self, n):
+            asked.append(n)
+            super().__init__(n)
+
+    monkeypatch.setattr(training, "ThreadPoolExecutor", Pool)
+    # a single fold of 1360 known rows: about half of them train, and only these stay in memory
+    monkeypatch.setattr(training, "ROWS_AT_ONCE", 1360)
+    training.tune_boosted_trees(df, ["x1", "x2"], "y", n_trials=2, rounds=1, folds=1)
+    assert asked == [2]
+
+
 def test_pair_correlations_is_one_short_aggregate(spark):
     rows = [(1.0, 2.0, None, None), (2.0, 4.0, 1.0, None), (3.0, 6.5, 1.0, None), (None, 1.0, 1.0, 3.0)]
     df = spark.createDataFrame(rows, "a double, b double, flat double, c double")

@@ -10,6 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import combinations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -44,7 +45,7 @@ SPACE = {
     "minInstancesPerNode": [1, 5, 10],
     "featureSubsetStrategy": ["all", "0.8", "0.6"],
 }
-ROWS_AT_ONCE = 40_000_000  # of the trials of a search that run side by side
+ROWS_AT_ONCE = 40_000_000  # train rows of the trials of a search that run side by side
 DEFAULTS = {"maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 1}
 
 
@@ -158,8 +159,10 @@ def tune_boosted_trees(
     `n_trials` draws start with a quarter of `rounds` on the last of `folds` time-ordered folds of
     the train and val rows. The better half goes on with twice the rounds, and so on; the last
     race has all rounds and all folds. A trial is fitted before a fold's test days, less
-    `gap` days, and scored by RMSE on them. The folds are written once as vectors, which all trials
-    read. Trials of a race run side by side, `parallel` at a time, fewer where the rows they keep in
+    `gap` days, and scored by RMSE on them. The folds are written once as vectors. What a trial reads
+    again and again, a fold's train or test rows, is kept on the executors' disks in the partitions of
+    those files, so that no pass unpacks the rows of other folds and the memory is left to the trees.
+    Trials of a race run side by side, `parallel` at a time, fewer where the train rows they keep in
     memory would pass ROWS_AT_ONCE: large folds fill the cores one by one.
     A trial that fails is logged and leaves the search; if all fail the first error is raised.
     """
@@ -169,18 +172,18 @@ def tune_boosted_trees(
     used = rolling_origin_folds(used, folds, gap).repartition("fold", ID).sortWithinPartitions("fold", ID, DAY)
     assemble = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
     used = cut_lineage(assemble.transform(used).select("fold", "role", "label", "features"))
-    largest = used.groupBy("fold").count().agg(F.max("count")).first()[0] or 0
+    largest = used.where("role = 'train'").groupBy("fold").count().agg(F.max("count")).first()[0] or 0
     parallel = max(1, min(parallel, ROWS_AT_ONCE // max(largest, 1)))
     trials = [{"trial": i, "params": {k: draw.choice(v) for k, v in SPACE.items()}, "rounds": 0, "rmse": None} for i in range(n_trials)]
+    kept: dict[tuple[int, str], DataFrame] = {}
 
     def race(trial: dict, n: int, on: Sequence[int]) -> None:
         try:
             errors = []
             for fold in on:
-                part = used.where(F.col("fold") == fold)
                 tree = GBTRegressor(labelCol="label", seed=seed, maxIter=n, **trial["params"])
-                model = tree.fit(part.where("role = 'train'"))
-                scored = model.transform(part.where("role = 'test'"))
+                model = tree.fit(kept[fold, "train"])
+                scored = model.transform(kept[fold, "test"])
                 scored = scored.select(F.col("label").alias("y_true"), F.col("prediction").alias("y_pred"))
                 errors.append(scored.agg(ev.rmse()).first()[0])
             trial.update(rounds=n, rmse=sum(errors) / len(errors))
@@ -190,14 +193,23 @@ def tune_boosted_trees(
 
     steps = max(1, rounds // 4), max(1, rounds // 2), rounds
     running = trials
-    with ThreadPoolExecutor(parallel) as pool:
-        for i, n in enumerate(steps):
-            on = range(1, folds + 1) if n == rounds else [folds]
-            list(pool.map(lambda t: race(t, n, on), running))  # noqa: B023
-            good = sorted((t for t in running if t["rmse"] is not None), key=lambda t: (t["rmse"], t["trial"]))
-            if not good:
-                raise RuntimeError("every trial failed") from running[0]["error"]
-            running = good if i == len(steps) - 1 else good[: max(1, len(good) // 2)]
+    try:
+        with ThreadPoolExecutor(parallel) as pool:
+            for i, n in enumerate(steps):
+                on = range(1, folds + 1) if n == rounds else [folds]
+                for fold in on:
+                    for role in ("train", "test"):
+                        if (fold, role) not in kept:
+                            part = used.where((F.col("fold") == fold) & (F.col("role") == role))
+                            kept[fold, role] = part.select("label", "features").persist(StorageLevel.DISK_ONLY)
+                list(pool.map(lambda t: race(t, n, on), running))  # noqa: B023
+                good = sorted((t for t in running if t["rmse"] is not None), key=lambda t: (t["rmse"], t["trial"]))
+                if not good:
+                    raise RuntimeError("every trial failed") from running[0]["error"]
+                running = good if i == len(steps) - 1 else good[: max(1, len(good) // 2)]
+    finally:
+        for part in kept.values():
+            part.unpersist()
     return running[0]["params"], trials
 
 
