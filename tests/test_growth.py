@@ -2,13 +2,16 @@
 
 import os
 import re
+import time
 
 import pytest
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from wattloom.operators import drivers
+from wattloom import session
 from wattloom.plans import forecasting, training
+from wattloom.plans.feature_table import Prepared
 from wattloom.sources import writers
 from workload.fixtures import Fixtures
 
@@ -112,6 +115,38 @@ def test_test_rows_keep_no_trial_waiting(days, monkeypatch):
     assert asked == [2]
 
 
+def test_a_forecast_leaves_little_on_disk(spark, tmp_path, monkeypatch):
+    """Training rows of many inputs: compressed columns and no checkpoint, and no copy in shuffle files."""
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    split = F.when(F.col("id") % 500 < 400, "train").when(F.col("id") % 500 < 450, "val").otherwise("test")
+    day = F.date_add(F.lit("2013-01-01").cast("date"), (F.col("id") % 500).cast("int"))
+    inputs = {f"x{i}": F.hash("id", F.lit(i)) % 101 / 7.0 for i in range(40)}
+    df = spark.range(20000, numPartitions=3).select(F.concat(F.lit("H"), F.floor(F.col("id") / 500)).alias("LCLid"), day.alias("day"), split.alias("split"), *[x.alias(c) for c, x in inputs.items()])
+    prepared = Prepared(df.withColumn("y", F.abs("x1") + F.abs("x2")), list(inputs), "y", {})
+    seen = plans_of_fits(monkeypatch)
+    _, scored = forecasting.forecast(prepared, params={"maxDepth": 2}, rounds=1)
+    assert scored.where("y_pred is not null").count() == 20000
+    assert len(seen) == 2 and all("] parquet" in p for p in seen)
+    stores = [x for x in os.listdir(tmp_path) if x.startswith("vectors-")]
+    used = sum(os.path.getsize(tmp_path / stores[0] / f) for f in os.listdir(tmp_path / stores[0]))
+    assert len(stores) == 1 and used < 0.5 * 18000 * 42 * 8
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def shuffles():
+        top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in top for _, _, names in os.walk(d) for f in names if re.match(r"shuffle_\d+_.*\.data", f)}
+
+    before = shuffles()
+    out = session.stored(spark.range(5000).groupBy((F.col("id") % 997).alias("k")).count(), "t")
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 997
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_pair_correlations_is_one_short_aggregate(spark):
     rows = [(1.0, 2.0, None, None), (2.0, 4.0, 1.0, None), (3.0, 6.5, 1.0, None), (None, 1.0, 1.0, 3.0)]
     df = spark.createDataFrame(rows, "a double, b double, flat double, c double")
